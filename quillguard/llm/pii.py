@@ -40,24 +40,24 @@ _AR = r"[ء-ْـ]+"
 _TOKEN = rf"(?:{_CAP}|{_AR})"
 _NAME = rf"{_TOKEN}(?:(?:,?{_SP}+|,?{_SP}*\n{_SP}*){_TOKEN}){{0,4}}?"
 
-# What stands before and after a name in running text (trigger, before, after).
+# What stands before and after a name in running text (a word that must occur, before, after).
 _CONTEXTS = [
-    ("guidance of", r"under the guidance of", r"during the year"),
-    ("responsabilité de", r"sous la responsabilité de", r"au cours de"),
-    ("Leitung von", r"unter der Leitung von", r"im Laufe"),
-    ("la dirección de", r"bajo la dirección de", r"durante el año"),
-    ("تحت إشراف", r"تحت إشراف", r"خلال سنة"),
-    ("attestons que", r"attestons que", r"a suivi"),
-    ("certifie que", r"certifie que", r"a occupé"),
-    ("diplôme est", r"diplôme est décerné à", r"pour"),
-    ("hereby declares that", r"hereby declares that", r"has completed"),
-    ("is awarded to", r"is awarded to", r"for"),
-    ("hace constar que", r"hace constar que", r"ha trabajado"),
+    ("guidance", r"under the guidance of", r"during the year"),
+    ("sous", r"sous la responsabilité de", r"au cours de"),
+    ("Leitung", r"unter der Leitung von", r"im Laufe"),
+    ("bajo", r"bajo la dirección de", r"durante el año"),
+    ("إشراف", r"تحت إشراف", r"خلال سنة"),
+    ("attestons", r"attestons que", r"a suivi"),
+    ("certifie", r"certifie que", r"a occupé"),
+    ("ce", r"diplôme est décerné à", r"pour"),
+    ("hereby", r"hereby declares that", r"has completed"),
+    ("awarded", r"is awarded to", r"for"),
+    ("constar", r"hace constar que", r"ha trabajado"),
     ("otorga", r"otorga(?: este diploma)? a", r"por"),
     ("concede", r"concede(?: este diploma)? a", r"por"),
-    (", dass", r"hiermit,\s+dass", r"bis zum Jahr"),
+    ("dass", r"hiermit,\s+dass", r"bis zum Jahr"),
     ("verliehen", r"wird", r"verliehen"),
-    ("المعني بالأمر", r"المعني بالأمر", r"قد"),
+    ("المعني", r"المعني بالأمر", r"قد"),
     ("هذه الشهادة", r"تمنح هذه الشهادة (?:إلى|ل)", r"(?:على|تقديرا)"),
 ]
 
@@ -68,7 +68,7 @@ def _lossy(phrase: str) -> str:
 
 
 _RUNNING = [
-    (re.split(r"[À-ÿ]", trigger)[0].split(" ")[0] if " " in trigger else re.split(r"[À-ÿ]", trigger)[0], re.compile(rf"{_lossy(before)}\s+((?:{TITLE}\s+)*)({_NAME})(?=\s+{_lossy(after)}(?!\w))"))
+    (trigger, re.compile(rf"{_lossy(before)}\s+((?:{TITLE}\s+)*)({_NAME})(?=\s+{_lossy(after)}(?!\w))"))
     for trigger, before, after in _CONTEXTS
 ]
 # Labels and signature lines that a name follows.
