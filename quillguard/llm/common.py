@@ -32,16 +32,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About n rows (at most twice as many), those whose hashed key falls under a threshold set from the
+    number of rows; each task keeps only its share, whatever the number of tasks."""
+    total = df.count()
+    under = min(1.0, n / max(total, 1))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < int(under * (1 << 31)) + (under == 1.0)).limit(2 * n)
+
+
 def fit_sample(documents: DataFrame, n: int = FIT_DOCUMENTS) -> list[tuple[str, str]]:
-    """(language label, text) of the n labelled documents with the smallest hashed ids; labels may be wrong."""
-    rows = (
-        documents.where(F.col("lang").isNotNull() & (F.length("text") > 40))
-        .select("lang", F.substring("text", 1, FIT_CHARS).alias("text"), F.xxhash64("doc_id").alias("h"))
-        .orderBy("h")
-        .limit(n)
-        .collect()
-    )
-    return [(r["lang"], r["text"]) for r in rows]
+    """(language label, text) of about n labelled documents, chosen by hashed id; labels may be wrong."""
+    labelled = documents.select("doc_id", "lang", "text").where(F.col("lang").isNotNull())
+    rows = hashed_sample(labelled, "doc_id", n).select("lang", F.substring("text", 1, FIT_CHARS).alias("text")).collect()
+    return [(r["lang"], r["text"]) for r in rows if r["text"] and len(r["text"]) > 40]
 
 
 class TextModels:
