@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import lexicon as lx
 
@@ -17,13 +18,13 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility form; null stays null."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title_case(s: pd.Series) -> pd.Series:
     """Capital after every non-letter, unlike ``initcap``."""
     return s.map(lambda x: None if x is None else x.title())
@@ -81,7 +82,7 @@ def tokens(c, separators: str = "\\s+") -> Column:
 
 def lines(c, least: int = 3, most: int | None = None, width: int | None = None) -> Column:
     """Trimmed lines of at least ``least`` characters; optionally the first ``most``, cut to ``width``."""
-    out = F.filter(F.transform(F.split(_c(c), "\n"), F.trim), lambda x: F.length(x) >= least)
+    out = F.filter(F.transform(F.split(_c(c), "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
     out = out if most is None else F.slice(out, 1, most)
     return out if width is None else F.transform(out, lambda x: F.substring(x, 1, width))
 

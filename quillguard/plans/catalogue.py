@@ -1,11 +1,605 @@
-"""All queries of the core by name, and their DuckDB SQL."""
+"""All queries of the core by name, and their DuckDB SQL.  Every query runs over whole tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..functions import lexicon as lx
+from ..functions import patterns as P
+from ..functions import text as T
+from ..operators import hits, identity, layout, ner, ocr, report
+from . import pipeline
 
-def oracle_sql():
-    return {}
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "dossier_pages").dropDuplicates(["page_id"])
+
+
+def _s(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _in(words: list[str]) -> str:
+    return "(" + ", ".join(map(_s, words)) + ")"
+
+
+_PAGES = "(SELECT * FROM dossier_pages QUALIFY row_number() OVER (PARTITION BY page_id) = 1)"
+_LINES = f"(SELECT page_id, doc_id, dossier_id, unnest(range(1, len(ls) + 1)) - 1 AS line_no, unnest(ls) AS line FROM (SELECT page_id, doc_id, dossier_id, string_split(raw_text, chr(10)) AS ls FROM {_PAGES} WHERE raw_text IS NOT NULL))"
+_HEAD = f"(SELECT page_id, doc_id, dossier_id, unnest(range(1, len(ls) + 1)) - 1 AS line_no, unnest(ls) AS line FROM (SELECT page_id, doc_id, dossier_id, string_split(header_text, chr(10)) AS ls FROM {_PAGES} WHERE header_text IS NOT NULL))"
+
+
+def _lines(pages: DataFrame, text: str = "raw_text") -> DataFrame:
+    return pages.where(F.col(text).isNotNull()).select("page_id", "doc_id", "dossier_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+
+
+# ---- hits ------------------------------------------------------------------------------------------
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """E-mail and phone hits of each page, with the masked text."""
+    p = _pages(spark, d)
+    m = hits.masked(hits.masked("raw_text", P.EMAIL, "[EMAIL_ADDRESS]"), P.PHONE, "[PHONE_NUMBER]")
+    return p.select("page_id", "doc_id", F.size(hits.email_matches("raw_text")).alias("n_emails"), F.size(hits.phone_matches("raw_text")).alias("n_phones"), m.alias("masked"))
+
+
+_Q["flagship_masked_pages"] = flagship
+
+
+@_query(f"SELECT page_id, found, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(raw_text, {_s(P.EMAIL)})) AS found FROM {_PAGES}) GROUP BY ALL")
+def email_hits(spark, d):
+    return hits.email_hits(_pages(spark, d), ["page_id"], "raw_text").groupBy("page_id", "found").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT dossier_id, sum(len(regexp_extract_all(raw_text, {_s(P.EMAIL)})))::BIGINT AS n_emails, count(*) AS n_pages FROM {_PAGES} WHERE raw_text IS NOT NULL GROUP BY dossier_id")
+def email_counts_by_dossier(spark, d):
+    p = _pages(spark, d).where("raw_text is not null")
+    return p.groupBy("dossier_id").agg(F.sum(F.size(hits.email_matches("raw_text"))).alias("n_emails"), F.count("*").alias("n_pages"))
+
+
+@_query(f"SELECT page_id, regexp_replace(raw_text, {_s(P.EMAIL)}, '[EMAIL_ADDRESS]', 'g') AS masked FROM {_PAGES}")
+def email_masked_text(spark, d):
+    return _pages(spark, d).select("page_id", hits.masked("raw_text", P.EMAIL, "[EMAIL_ADDRESS]").alias("masked"))
+
+
+@_query(f"SELECT page_no, count(*) AS n_pages, count(*) FILTER (regexp_matches(raw_text, {_s(P.PHONE_CONSUMING)})) AS n_with_phone FROM {_PAGES} GROUP BY page_no")
+def phone_pages_by_number(spark, d):
+    return _pages(spark, d).groupBy("page_no").agg(F.count("*").alias("n_pages"), F.count_if(F.col("raw_text").rlike(P.PHONE_CONSUMING)).alias("n_with_phone"))
+
+
+@_query()
+def phone_hits(spark, d):
+    return hits.phone_hits(_pages(spark, d), ["page_id"], "raw_text")
+
+
+@_query(f"SELECT page_id, regexp_extract(raw_text, '(?:^|[^0-9])([567][0-9]{{8}})(?:[^0-9]|$)', 1) AS found FROM {_PAGES} WHERE regexp_matches(raw_text, '(?:^|[^0-9])([567][0-9]{{8}})(?:[^0-9]|$)')")
+def bare9_pages(spark, d):
+    r = "(?:^|[^0-9])([567][0-9]{8})(?:[^0-9]|$)"
+    return _pages(spark, d).where(F.col("raw_text").rlike(r)).select("page_id", F.regexp_extract("raw_text", r, 1).alias("found"))
+
+
+@_query(f"SELECT page_id, line_no::INT AS line_no FROM {_LINES} WHERE regexp_matches(regexp_replace(line, '[\\s.-]', '', 'g'), {_s(P.OCR_PHONE)})")
+def ocr_phone_rule_lines(spark, d):
+    return _lines(_pages(spark, d)).where(ocr.is_phone("line")).select("page_id", "line_no")
+
+
+@_query(f"SELECT page_id, line_no::INT AS line_no FROM {_LINES} WHERE contains(line, '@') AND contains(line, '.')")
+def ocr_email_rule_lines(spark, d):
+    return _lines(_pages(spark, d)).where(ocr.is_email("line")).select("page_id", "line_no")
+
+
+@_query()
+def masked_fixed_width(spark, d):
+    return _pages(spark, d).select("page_id", hits.masked_fixed_width("raw_text", P.EMAIL).alias("masked"))
+
+
+@_query()
+def rule_catalogue_hits(spark, d):
+    p = _pages(spark, d).withColumn("lang", T.detect_language("raw_text"))
+    return hits.resolve_overlaps(hits.rule_hits(p, ["page_id"], "raw_text", "lang"), ["page_id"])
+
+
+@_query(f"SELECT page_id, unnest(list_filter(string_split_regex(found, '\\s+'), lambda x: length(x) >= 3)) AS part FROM (SELECT page_id, unnest(regexp_extract_all(raw_text, {_s(P.EMAIL)})) AS found FROM {_PAGES})")
+def email_part_search(spark, d):
+    return hits.email_hits(_pages(spark, d), ["page_id"], "raw_text").select("page_id", F.explode(T.email_parts("found")).alias("part"))
+
+
+_TITLED = f"(?:^|\\s)((?:{lx.ARABIC_TITLES})\\s+[\\x{{0600}}-\\x{{06FF}}]+(?:\\s+[\\x{{0600}}-\\x{{06FF}}]+){{1,3}})"
+
+
+@_query(f"SELECT page_id, unnest(regexp_extract_all(raw_text, {_s(_TITLED)}, 1)) AS found FROM {_PAGES}")
+def arabic_title_hits(spark, d):
+    return _pages(spark, d).select("page_id", F.explode(F.regexp_extract_all("raw_text", F.lit(_TITLED), F.lit(1))).alias("found"))
+
+
+_LABELLED = f"(?:{lx.ARABIC_LABELS})\\s*[:\\-]\\s*([\\x{{0600}}-\\x{{06FF}}]+(?:\\s+[\\x{{0600}}-\\x{{06FF}}]+){{1,3}})"
+
+
+@_query(f"SELECT page_id, unnest(regexp_extract_all(raw_text, {_s(_LABELLED)}, 1)) AS found FROM {_PAGES}")
+def arabic_label_hits(spark, d):
+    return _pages(spark, d).select("page_id", F.explode(F.regexp_extract_all("raw_text", F.lit(_LABELLED), F.lit(1))).alias("found"))
+
+
+_COMPOUND = "(?:^|\\s)((?:عبد(?:\\s|ال)[\\x{0621}-\\x{064A}]+|[\\x{0621}-\\x{064A}]+\\s+الدين)(?:\\s+[\\x{0600}-\\x{06FF}]+){1,2})"
+
+
+@_query(f"SELECT page_id, unnest(regexp_extract_all(raw_text, {_s(_COMPOUND)}, 1)) AS found FROM {_PAGES}")
+def arabic_compound_hits(spark, d):
+    return _pages(spark, d).select("page_id", F.explode(F.regexp_extract_all("raw_text", F.lit(_COMPOUND), F.lit(1))).alias("found"))
+
+
+_GAZETTEER = "(?:^|[^\\x{0600}-\\x{06FF}])((?:" + "|".join(lx.ARABIC_FIRST_NAMES) + ")(?:\\s+[\\x{0600}-\\x{06FF}]+){0,2})(?:$|[^\\x{0600}-\\x{06FF}])"
+
+
+@_query(f"SELECT page_id, unnest(regexp_extract_all(raw_text, {_s(_GAZETTEER)}, 1)) AS found FROM {_PAGES}")
+def arabic_gazetteer_hits(spark, d):
+    return _pages(spark, d).select("page_id", F.explode(F.regexp_extract_all("raw_text", F.lit(_GAZETTEER), F.lit(1))).alias("found"))
+
+
+# ---- guards and lines ------------------------------------------------------------------------------
+
+_TOK = "list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '')"
+
+
+@_query(f"SELECT page_id, line_no::INT AS line_no, len(list_filter({_TOK}, lambda x: lower(x) IN {_in(lx.STOPWORDS)})) > 0 AS guarded FROM {_LINES}")
+def token_stopword_guard(spark, d):
+    return _lines(_pages(spark, d)).select("page_id", "line_no", T.overlaps(T.tokens("line"), lx.STOPWORDS).alias("guarded"))
+
+
+@_query(
+    f"SELECT page_id, line_no::INT AS line_no, line FROM {_LINES} WHERE len({_TOK}) BETWEEN 2 AND 4 AND length(line) BETWEEN 4 AND 40 AND NOT regexp_matches(line, '[0-9]') "
+    f"AND NOT regexp_matches(line, '@|http|www|\\.com|\\.ma|\\.fr') AND len(list_filter({_TOK}, lambda x: lower(x) IN {_in([*lx.STOPWORDS, *lx.MONTHS, *lx.INSTITUTIONS])})) = 0 "
+    f"AND len(list_filter({'[' + ', '.join(map(_s, lx.HEADINGS)) + ']'}, lambda h: contains(upper(line), h))) = 0"
+)
+def name_guard_lines(spark, d):
+    w = T.tokens("line")
+    ok = F.size(w).between(2, 4) & F.length("line").between(4, 40) & ~F.col("line").rlike("[0-9]") & ~F.col("line").rlike("@|http|www|\\.com|\\.ma|\\.fr")
+    ok = ok & ~T.overlaps(w, [*lx.STOPWORDS, *lx.MONTHS, *lx.INSTITUTIONS]) & ~F.exists(F.array(*map(F.lit, lx.HEADINGS)), lambda h: F.contains(F.upper("line"), h))
+    return _lines(_pages(spark, d)).where(ok).select("page_id", "line_no", "line")
+
+
+@_query(
+    f"SELECT page_id, (line_no)::INT AS line_no, line FROM (SELECT page_id, unnest(range(len(ls))) AS line_no, substr(unnest(ls), 1, 500) AS line FROM (SELECT page_id, list_filter(list_transform(string_split(raw_text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 3)[1:30] AS ls FROM {_PAGES} WHERE raw_text IS NOT NULL)) "
+    f"WHERE NOT contains(line, '@') AND NOT regexp_matches(line, '^[0-9+\\s\\-–/.]+$') AND lower(string_split_regex(line, '\\s+')[1]) NOT IN {_in(lx.SECTIONS)}"
+)
+def first30_lines(spark, d):
+    return ner.readable_lines(_pages(spark, d), ["page_id"], "raw_text")
+
+
+@_query("SELECT CASE WHEN lang IN ('fr','ar','en') THEN lang WHEN lang IN ('es','it','pt','ca') THEN 'fr' ELSE 'en' END AS family, count(*) AS n FROM documents GROUP BY 1")
+def lang_family(spark, d):
+    return _t(spark, d, "documents").groupBy(T.fold_language(F.col("lang")).alias("family")).agg(F.count("*").alias("n"))
+
+
+_N_AR = "length(regexp_replace(raw_text, '[^\\x{0621}-\\x{064A}]', '', 'g'))"
+_N_LAT = "length(regexp_replace(raw_text, '[^A-Za-z\\x{00C0}-\\x{024F}]', '', 'g'))"
+_DETECT = f"CASE WHEN trim(coalesce(raw_text, '')) = '' THEN 'en' WHEN {_N_AR}::DOUBLE / greatest({_N_AR} + {_N_LAT}, 1) > 0.25 THEN 'ar' WHEN regexp_matches(lower(raw_text), '\\b(?:et|de|les|pour|avec)\\b') THEN 'fr' ELSE 'en' END"
+
+
+@_query(f"SELECT page_id, {_DETECT} AS lang FROM {_PAGES}")
+def script_gate(spark, d):
+    return _pages(spark, d).select("page_id", T.detect_language("raw_text").alias("lang"))
+
+
+@_query(
+    f"SELECT doc_id, list_transform(list_sort(list(struct_pack(p := p, lang := lang))), lambda x: x.lang)::VARCHAR AS languages FROM (SELECT doc_id, {_DETECT} AS lang, min(page_no) AS p FROM {_PAGES} WHERE trim(coalesce(raw_text, '')) <> '' GROUP BY 1, 2) GROUP BY doc_id"
+)
+def languages_per_file(spark, d):
+    p = _pages(spark, d).where(F.trim(F.coalesce("raw_text", F.lit(""))) != "").withColumn("lang", T.detect_language("raw_text"))
+    out = report.languages_first_seen(p)
+    return out.select("doc_id", F.concat(F.lit("["), F.array_join("languages", ", "), F.lit("]")).alias("languages"))
+
+
+# ---- routing and pages -----------------------------------------------------------------------------
+
+_NC = "length(trim(coalesce(raw_text, '')))"
+
+
+@_query(
+    f"SELECT doc_id, count(*) AS n_pages, sum({_NC})::BIGINT AS n_chars, sum(CASE WHEN {_NC} = 0 THEN 1 ELSE 0 END)::BIGINT AS n_needs_ocr, sum({_NC}) < 50 * count(*) AS is_scanned FROM {_PAGES} GROUP BY doc_id"
+)
+def scanned_routing(spark, d):
+    return ocr.scanned(_pages(spark, d))
+
+
+@_query(
+    f"SELECT doc_id, coalesce(min(page_no) FILTER ({_NC} > 30 OR coalesce(n_images, 0) > 0), min(page_no)) AS first_page FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_no) AS rk FROM {_PAGES}) WHERE rk <= 3 GROUP BY doc_id"
+)
+def first_nonblank_page(spark, d):
+    return ocr.first_written_page(_pages(spark, d))
+
+
+@_query(f"SELECT doc_id, sum({_NC})::BIGINT AS n_chars, count(*) FILTER ({_NC} = 0) AS n_blank FROM {_PAGES} GROUP BY doc_id")
+def text_chars_per_file(spark, d):
+    n = F.length(F.trim(F.coalesce("raw_text", F.lit(""))))
+    return _pages(spark, d).groupBy("doc_id").agg(F.sum(n).cast("bigint").alias("n_chars"), F.count_if(n == 0).alias("n_blank"))
+
+
+@_query(f"SELECT page_id, line_no::INT AS line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY page_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_chars FROM {_LINES}")
+def ocr_running_offsets(spark, d):
+    out = ocr.running_offsets(_lines(_pages(spark, d)), ["page_id"], "line_no", "line")
+    return out.select("page_id", "line_no", F.col("offset").alias("offset_chars"))
+
+
+# ---- files -----------------------------------------------------------------------------------------
+
+_EXT = "lower(regexp_extract(string_split(rel_path, '/')[-1], '\\.([^.]+)$', 1))"
+
+
+@_query(
+    f"SELECT doc_id, rel_path, {_EXT} AS extension, CASE WHEN {_EXT} = 'pdf' THEN 'redact_pdf' WHEN {_EXT} IN ('jpg','jpeg','png') THEN 'redact_image' ELSE 'copy' END AS action, {_EXT} NOT IN ('pdf','jpg','jpeg','png') AS unprotected, "
+    f"CASE WHEN {_EXT} IN ('jpg','jpeg') THEN 'JPEG' ELSE 'PNG' END AS image_format, 'result/' || rel_path AS out_path FROM dossier_files"
+)
+def file_dispatch(spark, d):
+    f = report.dispatch(_t(spark, d, "dossier_files"))
+    return f.select("doc_id", "rel_path", T.extension("rel_path").alias("extension"), "action", "unprotected", report.image_format("rel_path").alias("image_format"), report.output_path("result", "rel_path").alias("out_path"))
+
+
+@_query("SELECT count(DISTINCT dossier_id) AS n_dossiers, count(DISTINCT doc_id) AS n_files, count(*) FILTER (dossier_id IS NULL) AS n_loose FROM dossier_files")
+def dossier_counts(spark, d):
+    return _t(spark, d, "dossier_files").agg(F.countDistinct("dossier_id").alias("n_dossiers"), F.countDistinct("doc_id").alias("n_files"), F.count_if(F.col("dossier_id").isNull()).alias("n_loose"))
+
+
+@_query("SELECT string_split(rel_path, '/')[1] AS dossier_folder, count(DISTINCT rel_path) AS n_files FROM dossier_files WHERE contains(rel_path, '/') GROUP BY 1")
+def dossier_folders(spark, d):
+    from ..sources.files import with_dossier
+
+    return with_dossier(_t(spark, d, "dossier_files").select("rel_path")).groupBy(F.col("dossier_id").alias("dossier_folder")).agg(F.countDistinct("rel_path").alias("n_files"))
+
+
+_PRIO = "CASE WHEN regexp_matches(lower(string_split(rel_path, '/')[-1]), 'cv|resume') THEN 1 WHEN lower(rel_path) LIKE '%.pdf' THEN 2 END"
+
+
+@_query(f"SELECT dossier_id, rel_path, priority::INT AS priority FROM (SELECT dossier_id, rel_path, {_PRIO} AS priority, row_number() OVER (PARTITION BY dossier_id ORDER BY {_PRIO}, rel_path) AS rn FROM dossier_files WHERE dossier_id IS NOT NULL AND {_PRIO} IS NOT NULL) WHERE rn = 1")
+def dossier_cv_pick(spark, d):
+    return identity.cv_pick(_t(spark, d, "dossier_files"))
+
+
+@_query(f"SELECT dossier_id, count(DISTINCT rel_path) AS n_other FROM dossier_files f WHERE dossier_id IS NOT NULL AND rel_path <> coalesce((SELECT rel_path FROM (SELECT dossier_id AS k, rel_path, row_number() OVER (PARTITION BY dossier_id ORDER BY {_PRIO}, rel_path) AS rn FROM dossier_files WHERE {_PRIO} IS NOT NULL) WHERE rn = 1 AND k = f.dossier_id), '') GROUP BY dossier_id")
+def files_beside_cv(spark, d):
+    f = _t(spark, d, "dossier_files").where("dossier_id is not null")
+    return report.without_cv(f, identity.cv_pick(f)).groupBy("dossier_id").agg(F.countDistinct("rel_path").alias("n_other"))
+
+
+# ---- identity --------------------------------------------------------------------------------------
+
+_AL = "[\\x{0600}-\\x{06FF}]"
+_FOLD = lambda c: f"translate(regexp_replace({c}, '[\\x{{0640}}\\x{{064B}}-\\x{{065F}}\\x{{0670}}]', '', 'g'), 'إأآٱ', 'اااا')"
+_COLL = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+_CLEAN = lambda c: f"regexp_replace(regexp_replace({_COLL(c)}, '(?i)^(?:{lx.HONORIFICS})\\s+', ''), '^(?:{lx.PLACES})\\s*', '')"
+_FOLDED = [g.translate(str.maketrans("إأآٱ", "اااا")) for g in (*lx.GIVEN_NAMES, *lx.ARABIC_FIRST_NAMES)]
+_ABD = lambda c: f"CASE WHEN contains({c}, 'عبد ') THEN replace({c}, 'عبد ', 'عبد') WHEN contains({c}, 'عبد') THEN regexp_replace({c}, 'عبد([\\x{{0621}}-\\x{{064A}}]+)', 'عبد \\1', 'g') END"
+
+
+def _terms_sql(source: str) -> str:
+    """SQL of ``identity.search_terms``: rows (k, term) from a source of (k, name)."""
+    return (
+        f"(SELECT DISTINCT k, term FROM (SELECT k, unnest(list_transform(list_filter(list_concat([c, CASE WHEN len(w) = 2 THEN w[2] || ' ' || w[1] END], list_filter(w, lambda x: length(x) >= 5 AND lower(x) NOT IN {_in(lx.GIVEN_NAMES)} AND lower(x) NOT IN {_in(lx.STOPWORDS)}), "
+        f"CASE WHEN regexp_matches(c, '{_AL}') THEN list_concat([p, {_ABD('p')}], list_filter(list_filter(string_split_regex(p, '\\s+'), lambda x: x <> ''), lambda x: length(x) >= 4 AND x NOT IN {_in(_FOLDED)} AND x NOT IN {_in(lx.STOPWORDS)})) ELSE [] END), lambda x: x IS NOT NULL), lambda x: lower(x))) AS term "
+        f"FROM (SELECT k, c, list_filter(string_split_regex(c, '[\\s\\-]+'), lambda x: x <> '') AS w, {_FOLD('c')} AS p FROM (SELECT k, {_CLEAN('name')} AS c FROM {source}) WHERE length(c) >= 3)) WHERE term IS NOT NULL)"
+    )
+
+
+_CAND = "(SELECT DISTINCT name_id AS k, candidate_name AS name FROM candidate_names WHERE candidate_name IS NOT NULL)"
+_DOSS = "(SELECT dossier_id AS k, unnest(cand_names) AS name FROM dossier_identities)"
+
+
+@_query(f"SELECT k AS name_id, term FROM {_terms_sql(_CAND)}")
+def identity_expand(spark, d):
+    n = _t(spark, d, "candidate_names").where("candidate_name is not null").select("name_id", "candidate_name").distinct()
+    return n.select("name_id", F.explode(identity.search_terms("candidate_name")).alias("term"))
+
+
+def _dossier_terms(spark: SparkSession, d: str) -> DataFrame:
+    n = _t(spark, d, "dossier_identities").select("dossier_id", F.explode("cand_names").alias("name"), F.lit("dossier").alias("origin"))
+    return identity.identities(n)
+
+
+@_query(f"SELECT f.doc_id, f.dossier_id, coalesce(t.n, 0) AS n_terms FROM (SELECT DISTINCT doc_id, dossier_id FROM dossier_files) f LEFT JOIN (SELECT k, count(*) AS n FROM {_terms_sql(_DOSS)} GROUP BY k) t ON f.dossier_id = t.k")
+def dossier_propagation(spark, d):
+    f = _t(spark, d, "dossier_files").select("doc_id", "dossier_id").distinct()
+    out = identity.propagate(f, _dossier_terms(spark, d))
+    return out.select("doc_id", "dossier_id", F.coalesce(F.when(F.col("terms").isNotNull(), F.size("terms")), F.lit(0)).cast("bigint").alias("n_terms"))
+
+
+@_query(
+    f"SELECT page_id, term, n_hits FROM (SELECT p.page_id, t.term, ((length(lower(raw_text)) - length(replace(lower(raw_text), t.term, ''))) // length(t.term))::INT AS n_hits FROM {_PAGES} p JOIN {_terms_sql(_DOSS)} t ON p.dossier_id = t.k WHERE trim(raw_text) <> '') WHERE n_hits > 0"
+)
+def name_term_hits(spark, d):
+    return identity.term_hits(_pages(spark, d), _dossier_terms(spark, d), ["page_id"], "raw_text").select("page_id", "term", "n_hits")
+
+
+_KEEP = "[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}\\s\\x{00A0}\\x{0085}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0600}-\\x{06FF}\\x{FB50}-\\x{FEFF}\\-.]"
+_LAB = identity.LABEL.replace("(?iu)", "(?i)")
+_LSEP = T.LABEL_SEPARATORS
+
+
+@_query(
+    f"SELECT page_id, list_aggregate(w, 'string_agg', ' ') AS name FROM (SELECT page_id, c, list_filter(string_split_regex(c, '[\\s\\-_]+'), lambda x: x <> '') AS w FROM (SELECT page_id, trim(regexp_replace(trim(string_split_regex({_COLL(f'regexp_extract(raw_text, {_s(_LAB)}, 1)')}, {_s(_LSEP)})[1]), {_s(_KEEP)}, '', 'g')) AS c FROM {_PAGES} WHERE raw_text IS NOT NULL)) "
+    f"WHERE len(w) BETWEEN 1 AND 4 AND NOT regexp_matches(c, '[0-9]') AND len(list_filter(w, lambda x: lower(x) IN {_in([*lx.MONTHS, *lx.STOPWORDS])})) = 0"
+)
+def label_extract(spark, d):
+    return _pages(spark, d).select("page_id", identity.label_candidate("raw_text").alias("name")).where("name is not null")
+
+
+def _attest_sql(p: str) -> str:
+    c = f"trim(string_split_regex({_COLL(f'regexp_extract(raw_text, {_s(p.replace("(?iu)", "(?i)"))}, 1)')}, {_s(T.ATTESTATION_SEPARATORS)})[1])"
+    w = "list_filter(string_split_regex(c, '\\s+'), lambda x: x <> '')"
+    ok = f"len({w}) BETWEEN 2 AND 4 AND len(list_filter({w}, lambda x: lower(x) IN {_in([*lx.STOPWORDS, *lx.INSTITUTIONS])})) = 0"
+    return f"SELECT page_id, unnest(list_concat([list_aggregate({w}, 'string_agg', ' ')], list_filter({w}, lambda x: length(x) >= 4 AND x[1] = upper(x[1])))) AS name FROM (SELECT page_id, {c} AS c FROM {_PAGES} WHERE raw_text IS NOT NULL) WHERE {ok}"
+
+
+@_query("SELECT DISTINCT page_id, name FROM (" + " UNION ALL ".join(map(_attest_sql, identity.ATTESTATIONS)) + ")")
+def attestation_extract(spark, d):
+    return _pages(spark, d).where("raw_text is not null").select("page_id", F.explode(identity.attestation_candidates("raw_text")).alias("name"))
+
+
+@_query()
+def name_cascade(spark, d):
+    p = _pages(spark, d).where("page_no = 1")
+    label = p.select("doc_id", identity.label_candidate("raw_text").alias("name"))
+    attest = p.select("doc_id", F.get(identity.attestation_candidates("raw_text"), 0).alias("name"))
+    card = p.select("doc_id", ocr.header_name(F.split("header_text", "\n")).alias("name"))
+    return identity.first_found([label, card, attest], "doc_id")
+
+
+@_query(f"SELECT name_id, {_FOLD('candidate_name')} AS folded FROM (SELECT DISTINCT name_id, candidate_name FROM candidate_names WHERE candidate_name IS NOT NULL)")
+def arabic_alef_fold(spark, d):
+    return _t(spark, d, "candidate_names").where("candidate_name is not null").select("name_id", "candidate_name").distinct().select("name_id", T.fold_arabic("candidate_name").alias("folded"))
+
+
+@_query(
+    f"SELECT name_id, lower(c) AS low, CASE WHEN len(w) = 2 THEN w[2] || ' ' || w[1] END AS inverted, {_ABD('c')} AS abd, regexp_matches(c, '{_AL}') AS arabic FROM (SELECT name_id, c, list_filter(string_split_regex(c, '[\\s\\-]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT name_id, {_CLEAN('candidate_name')} AS c FROM candidate_names WHERE candidate_name IS NOT NULL))"
+)
+def name_forms(spark, d):
+    c = T.strip_place(T.strip_honorific(T.collapse("candidate_name")))
+    n = _t(spark, d, "candidate_names").where("candidate_name is not null").select("name_id", c.alias("c")).distinct()
+    return n.select("name_id", F.lower("c").alias("low"), T.inverted("c").alias("inverted"), T.abd_variant("c").alias("abd"), T.has_arabic("c", False).alias("arabic"))
+
+
+@_query()
+def nfkc_names(spark, d):
+    return _t(spark, d, "candidate_names").where("candidate_name is not null").select("name_id", T.normalize_arabic("candidate_name").alias("normal"), T.title_case("candidate_name").alias("title")).distinct()
+
+
+@_query("SELECT dossier_id, origin, count(DISTINCT candidate_name) AS n_names FROM candidate_names WHERE dossier_id IS NOT NULL AND candidate_name IS NOT NULL GROUP BY 1, 2")
+def names_by_origin(spark, d):
+    return _t(spark, d, "candidate_names").where("dossier_id is not null and candidate_name is not null").groupBy("dossier_id", "origin").agg(F.countDistinct("candidate_name").alias("n_names"))
+
+
+@_query()
+def arabic_word_hits(spark, d):
+    p = _pages(spark, d).where(T.has_arabic("raw_text", False))
+    words = p.select("page_id", "dossier_id", F.explode(F.split("raw_text", "\\s+")).alias("word")).where(T.has_arabic("word", False)).distinct()
+    return identity.arabic_word_hits(words, _dossier_terms(spark, d), ["page_id"]).select("page_id", "word")
+
+
+# ---- recognized lines and tokens -------------------------------------------------------------------
+
+_CLASS = "CASE WHEN regexp_matches(regexp_replace(line, '[\\s.-]', '', 'g'), {p}) THEN 'PHONE_NUMBER' WHEN contains(line, '@') AND contains(line, '.') THEN 'EMAIL_ADDRESS' END".format(p=_s(P.OCR_PHONE))
+_NAMED = "coalesce(len(list_filter(terms, lambda t: length(t) >= 4 AND contains(lower(line), t))) > 0, false)"
+_STOP, _GIV = f"lower(trim(line)) IN {_in(lx.STOPWORDS)}", f"lower(trim(line)) IN {_in(lx.GIVEN_NAMES)}"
+
+
+@_query(
+    f"SELECT page_id, line_no::INT AS line_no, CASE WHEN {_NAMED} THEN CASE WHEN NOT {_STOP} AND NOT {_GIV} THEN 'PERSON' END ELSE {_CLASS} END AS card, CASE WHEN {_NAMED} AND NOT {_STOP} THEN 'PERSON' ELSE {_CLASS} END AS page, "
+    f"CASE WHEN {_NAMED} AND NOT {_STOP} AND NOT {_GIV} THEN 'PERSON' ELSE {_CLASS} END AS image FROM {_HEAD} h LEFT JOIN (SELECT k, list(term) AS terms FROM {_terms_sql(_DOSS)} GROUP BY k) t ON h.dossier_id = t.k"
+)
+def ocr_classify(spark, d):
+    per = _dossier_terms(spark, d).groupBy("dossier_id").agg(F.collect_list("term").alias("terms"))
+    h = _lines(_pages(spark, d), "header_text").join(per, "dossier_id", "left")
+    return h.select("page_id", "line_no", *[ocr.classify(v, "line", F.col("terms")).alias(v) for v in ("card", "page", "image")])
+
+
+_TOKENS = (
+    "(SELECT page_id AS doc_id, (line_no * 100 + wn)::INT AS seq, CASE WHEN regexp_matches(word, '^[A-Z]') THEN 'PER' ELSE 'O' END AS entity_group, word, s::INT AS start, (s + length(word))::INT AS \"end\", round((50 + (length(word) * 7 + wn * 3) % 50) / 100.0, 2)::DOUBLE AS score FROM "
+    f"(SELECT page_id, line_no, wn, ws[wn + 1] AS word, coalesce(list_sum(list_transform(ws[1:wn], lambda x: length(x) + 1)), 0) + line_no * 1000 AS s FROM (SELECT page_id, line_no, ws, unnest(range(len(ws))) AS wn FROM (SELECT page_id, line_no, string_split(line, ' ') AS ws FROM {_HEAD}))) WHERE word <> '')"
+)
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens as a recognizer would give them, one per word of a header."""
+    w = _lines(_pages(spark, d), "header_text").select("page_id", "line_no", F.split("line", " ").alias("ws"))
+    w = w.select("page_id", "line_no", "ws", F.posexplode("ws").alias("wn", "word"))
+    start = F.aggregate(F.slice("ws", 1, F.col("wn")), F.lit(0), lambda a, x: a + F.length(x) + 1) + F.col("line_no") * 1000
+    score = F.round((50 + (F.length("word") * 7 + F.col("wn") * 3) % 50) / 100.0, 2)
+    return w.where("word <> ''").select(
+        F.col("page_id").alias("doc_id"), (F.col("line_no") * 100 + F.col("wn")).alias("seq"), F.when(F.col("word").rlike("^[A-Z]"), "PER").otherwise("O").alias("entity_group"),
+        "word", start.alias("start"), (start + F.length("word")).alias("end"), score.alias("score"),
+    )
+
+
+@_query(
+    f"WITH t AS {_TOKENS}, m AS (SELECT *, coalesce(lag(entity_group) OVER w = entity_group AND start <= lag(\"end\") OVER w + 1, false) AS joins, lag(\"end\") OVER w AS pe FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY seq)), i AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM m) "
+    "SELECT doc_id, min(seq) AS first_seq, min(entity_group) AS entity_group, string_agg(CASE WHEN joins AND start > pe THEN ' ' ELSE '' END || word, '' ORDER BY seq) AS word, min(start) AS start, max(\"end\") AS \"end\", min(score) AS score FROM i GROUP BY doc_id, island"
+)
+def ner_fold(spark, d):
+    return ner.fold_tokens(_tokens(spark, d))
+
+
+@_query()
+def ner_accepted(spark, d):
+    return ner.longest_name(ner.accepted_names(ner.fold_tokens(_tokens(spark, d)).withColumn("score", F.lit(0.9))))
+
+
+# ---- geometry --------------------------------------------------------------------------------------
+
+_WORDS = (
+    f"(SELECT page_id, line_no::INT AS line_no, wn::INT AS word_no, word, (s * 6.0)::DOUBLE AS x0, (line_no * 12.0)::DOUBLE AS y0, ((s + length(word)) * 6.0)::DOUBLE AS x1, (line_no * 12.0 + 12)::DOUBLE AS y1, line_no * 1000 + wn AS id FROM "
+    f"(SELECT page_id, line_no, wn, ws[wn + 1] AS word, coalesce(list_sum(list_transform(ws[1:wn], lambda x: length(x) + 1)), 0) AS s FROM (SELECT page_id, line_no, ws, unnest(range(len(ws))) AS wn FROM (SELECT page_id, line_no, string_split(line, ' ') AS ws FROM {_HEAD}))) WHERE word <> '')"
+)
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the headers with boxes; id grows in reading order."""
+    return layout.words_of(_pages(spark, d), ["page_id"], "header_text").withColumn("id", (F.col("line_no") * 1000 + F.col("word_no")).cast("bigint"))
+
+
+# A box per word, widened by the word's place so that some contain others.
+_BOXES = f"(SELECT page_id, id, x0 - (id % 3) * 20 AS x0, y0 - (id % 3) * 13 AS y0, x1 + (id % 3) * 20 AS x1, y1 + (id % 3) * 13 AS y1 FROM {_WORDS})"
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    by = F.col("id") % 3
+    r = F.col("rect")
+    return _words(spark, d).select("page_id", "id", G.rect(r["x0"] - by * 20, r["y0"] - by * 13, r["x1"] + by * 20, r["y1"] + by * 13).alias("rect"))
+
+
+def _flat(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, *[F.col(f"rect.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@_query(f"SELECT page_id, id, x0, y0, x1, y1 FROM {_BOXES} a WHERE NOT EXISTS (SELECT 1 FROM {_BOXES} b WHERE b.page_id = a.page_id AND b.id <> a.id AND b.x0 <= a.x0 AND b.y0 <= a.y0 AND b.x1 >= a.x1 AND b.y1 >= a.y1 AND (b.x0 <> a.x0 OR b.y0 <> a.y0 OR b.x1 <> a.x1 OR b.y1 <> a.y1 OR b.id < a.id))")
+def rect_containment_dedupe(spark, d):
+    return _flat(layout.maximal(_boxes(spark, d), ["page_id"]), "page_id", "id")
+
+
+@_query()
+def rect_union(spark, d):
+    return layout.union_boxes(_boxes(spark, d), ["page_id"])
+
+
+@_query(f"SELECT page_id, id, x0, y0, x1, y1 FROM {_BOXES} a WHERE id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM {_BOXES} b WHERE b.id % 3 = 2 AND b.page_id = a.page_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)")
+def boxes_outside_images(spark, d):
+    b = _boxes(spark, d)
+    return _flat(layout.outside(b.where("id % 3 = 0"), b.where("id % 3 = 2"), ["page_id"]), "page_id", "id")
+
+
+_DIGITS = "length(regexp_replace(word, '[^0-9]', '', 'g'))"
+
+
+@_query(
+    f"SELECT t.page_id, t.id, coalesce(min(p.x0), t.x0) - 2 AS x0, t.y0 - 2 AS y0, t.x1 + 2 AS x1, t.y1 + 2 AS y1 FROM (SELECT * FROM {_WORDS} WHERE {_DIGITS} >= 2 AND NOT starts_with(word, '+')) t LEFT JOIN (SELECT * FROM {_WORDS} WHERE starts_with(word, '+') OR word = '212') p "
+    "ON p.page_id = t.page_id AND p.x0 >= t.x0 - 45 AND p.x1 <= t.x0 AND p.y0 < t.y1 + 2 AND t.y0 - 2 < p.y1 GROUP BY t.page_id, t.id, t.x0, t.y0, t.x1, t.y1"
+)
+def band_prefix_absorb(spark, d):
+    w = _words(spark, d)
+    targets = w.where((T.digit_count("word") >= 2) & ~F.col("word").startswith("+"))
+    prefixes = w.where(F.col("word").startswith("+") | (F.col("word") == "212"))
+    return _flat(layout.band_left(targets, prefixes, ["page_id"]), "page_id", "id")
+
+
+@_query(f"SELECT c.page_id, c.id, string_agg(w.word, ' ' ORDER BY w.line_no, w.word_no) AS text FROM (SELECT page_id, 1::BIGINT AS id, 0.0 AS x0, 0.0 AS y0, 150.0 AS x1, 18.0 AS y1 FROM {_PAGES} WHERE header_text IS NOT NULL) c JOIN {_WORDS} w ON w.page_id = c.page_id AND w.x0 < c.x1 AND c.x0 < w.x1 AND w.y0 < c.y1 AND c.y0 < w.y1 GROUP BY 1, 2")
+def clipped_text(spark, d):
+    clip = _pages(spark, d).where("header_text is not null").select("page_id", F.lit(1).cast("bigint").alias("id"), G.rect(0.0, 0.0, 150.0, 18.0).alias("rect"))
+    return layout.clipped_text(_words(spark, d), clip, ["page_id"])
+
+
+@_query(
+    "SELECT page_id, width * 0.1 - 2 AS px0, height * 0.1 - 2 AS py0, width * 0.3 + 2 AS px1, height * 0.2 + 2 AS py1, least(10.0, width / 2) AS qx0, 5.0 AS qy0, greatest(10.0, width / 2) AS qx1, 40.0 AS qy1, "
+    "width * 0.1 + 20 * (width * 0.2 / 200) - 2 AS ax0, height * 0.1 + 10 * (height * 0.1 / 100) - 2 AS ay0, width * 0.1 + 120 * (width * 0.2 / 200) + 2 AS ax1, height * 0.1 + 60 * (height * 0.1 / 100) + 2 AS ay1, "
+    f"greatest(0.0, width * 0.1 - width * 0.2 * 0.2) AS fx0, least(height, height * 0.2 + height * 0.1 * 0.2 * 1.25) AS fy1, height * 0.1 < height * 0.4 AS in_top FROM (SELECT page_id, width, height FROM {_PAGES} WHERE width IS NOT NULL AND height IS NOT NULL)"
+)
+def box_transforms(spark, d):
+    w, h = F.col("width"), F.col("height")
+    placed = _pages(spark, d).where("width is not null and height is not null").select("page_id", "width", "height", G.rect(w * 0.1, h * 0.1, w * 0.1 + w * 0.2, h * 0.1 + h * 0.1).alias("rect"))
+    placed = placed.withColumn("rect", G.rect(w * 0.1, h * 0.1, w * 0.3, h * 0.2))
+    quad = F.array(*[F.struct(x.cast("double").alias("x"), F.lit(float(y)).alias("y")) for x, y in ((F.lit(10.0), 5), (w / 2, 8), (w / 2, 40), (F.lit(10.0), 38))])
+    p, q = G.pad(F.col("rect")), G.quad_to_rect(quad)
+    base = G.rect(w * 0.1, h * 0.1, w * 0.1 + w * 0.2, h * 0.1 + h * 0.1)
+    rough = G.pixels_to_page(G.rect(20.0, 10.0, 120.0, 60.0), F.struct(base["x0"].alias("x0"), base["y0"].alias("y0"), base["x1"].alias("x1"), base["y1"].alias("y1")), F.lit(200), F.lit(100))
+    f = G.pad_face(F.col("rect"), w, h)
+    pick = lambda r, pre, names: [r[n].alias(f"{pre}{n}") for n in names]
+    all_ = ("x0", "y0", "x1", "y1")
+    out = placed.select("page_id", *pick(p, "p", all_), *pick(q, "q", all_), *pick(rough, "a", all_), *pick(f, "f", ("x0", "y1")), (F.col("rect.y0") < h * layout.TOP).alias("in_top"))
+    return out
+
+
+_SPANS = f"(SELECT page_id AS doc_id, (line_no // 2)::INT AS block_no, line_no::INT AS line_no, line AS text, (9 + (length(line) * 7 + line_no * 5) % 15)::DOUBLE AS font, ((line_no // 2) * 60)::DOUBLE AS y0 FROM {_HEAD} WHERE trim(line) <> '' AND (line_no // 2) * 60 < 842 * 0.4)"
+_SW = "list_filter(string_split_regex(name, '[\\s\\-]+'), lambda x: x <> '')"
+
+
+@_query(
+    f"WITH s AS {_SPANS}, m AS (SELECT *, max(font) OVER (PARTITION BY doc_id, block_no) AS most FROM s), c AS (SELECT doc_id, max(most) AS font, y0, string_agg(trim(text), ' ' ORDER BY line_no) AS text FROM m WHERE most >= 13 AND font >= most - 3.5 GROUP BY doc_id, block_no, y0 UNION ALL SELECT doc_id, font, y0, trim(text) FROM m WHERE most < 13), "
+    f"n AS (SELECT doc_id, font, y0, regexp_replace({_CLEAN('text')}, '^[ :,;.\\-/|*]+|[ :,;.\\-/|*]+$', '', 'g') AS name FROM c) SELECT doc_id, name, font, y0 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY font DESC, y0, name) AS rn FROM n WHERE NOT regexp_matches(name, '[0-9]') AND NOT regexp_matches(name, '@|http|www|\\.com|\\.ma|\\.fr') "
+    f"AND len(list_filter({_SW}, lambda x: lower(x) IN {_in([*lx.MONTHS, *lx.STOPWORDS])})) = 0 AND len(list_filter({'[' + ', '.join(map(_s, lx.HEADINGS)) + ']'}, lambda h: contains(upper(name), h))) = 0 "
+    f"AND ((len({_SW}) BETWEEN 2 AND 4 AND length(name) BETWEEN 4 AND 40) OR (len({_SW}) = 1 AND length(name) BETWEEN 4 AND 25 AND font >= 18))) WHERE rn = 1"
+)
+def layout_top_candidate(spark, d):
+    h = _lines(_pages(spark, d), "header_text")
+    block = (F.col("line_no") / 2).cast("int")
+    spans = h.select(
+        F.col("page_id").alias("doc_id"), block.alias("block_no"), "line_no", F.lit(0).alias("span_no"), F.col("line").alias("text"),
+        (9 + (F.length("line") * 7 + F.col("line_no") * 5) % 15).cast("double").alias("font"), (block * 60).cast("double").alias("y0"), F.lit(842.0).alias("height"),
+    )
+    return layout.layout_name(spans)
+
+
+# ---- report ----------------------------------------------------------------------------------------
+
+_ENT = lambda k: f"coalesce(sum(coalesce(entities_found['{k}'], 0)), 0)::BIGINT AS {k.lower()}"
+
+
+@_query(
+    "SELECT count(*) AS n_files, count(*) FILTER (status = 'success') AS n_success, count(*) FILTER (status <> 'success') AS n_errors, count(DISTINCT dossier_id) AS n_dossiers, coalesce(sum(total_redactions), 0)::BIGINT AS total_redactions, "
+    + ", ".join(map(_ENT, report.ENTITIES)) + " FROM (SELECT * FROM file_summaries QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY processed_at DESC) = 1)"
+)
+def report_totals(spark, d):
+    return report.totals(report.latest(_t(spark, d, "file_summaries"))).drop("elapsed_seconds")
+
+
+@_query(
+    "SELECT dossier_id, count(*) AS n_files, sum(pages_processed)::BIGINT AS n_pages, sum(total_redactions)::BIGINT AS n_redactions, count(*) FILTER (is_scanned) AS n_scanned FROM (SELECT DISTINCT doc_id, dossier_id, pages_processed, total_redactions, is_scanned FROM file_summaries) GROUP BY dossier_id"
+)
+def report_by_dossier(spark, d):
+    f = _t(spark, d, "file_summaries").select("doc_id", "dossier_id", "pages_processed", "total_redactions", "is_scanned").distinct()
+    return f.groupBy("dossier_id").agg(F.count("*").alias("n_files"), F.sum("pages_processed").alias("n_pages"), F.sum("total_redactions").alias("n_redactions"), F.count_if("is_scanned").alias("n_scanned"))
+
+
+@_query(f"SELECT p.doc_id, f.kind, sum(len(regexp_extract_all(p.raw_text, {_s(P.EMAIL)})))::BIGINT AS n_emails FROM {_PAGES} p LEFT JOIN (SELECT doc_id, min(kind) AS kind FROM dossier_files GROUP BY doc_id) f ON p.doc_id = f.doc_id WHERE p.raw_text IS NOT NULL GROUP BY 1, 2")
+def hits_by_file_kind(spark, d):
+    kinds = _t(spark, d, "dossier_files").groupBy("doc_id").agg(F.min("kind").alias("kind"))
+    p = _pages(spark, d).where("raw_text is not null").groupBy("doc_id").agg(F.sum(F.size(hits.email_matches("raw_text"))).alias("n_emails"))
+    return p.join(kinds, "doc_id", "left").select("doc_id", "kind", "n_emails")
+
+
+@_query()
+def file_audit(spark, d):
+    out = pipeline.audit(_t(spark, d, "dossier_files"), _t(spark, d, "dossier_pages"))
+    return out.withColumn("entities_found", F.to_json("entities_found"))
+
+
+@_query()
+def dossier_masked_pages(spark, d):
+    p = _pages(spark, d)
+    names = pipeline.dossier_names(p).select("dossier_id", "name", "origin")
+    return pipeline.mask_pages(p, identity.identities(names)).select("page_id", "masked")
+
+
+@_query()
+def report_json(spark, d):
+    from ..sources.sinks import report_json as as_json
+
+    records = report.latest(_t(spark, d, "file_summaries"))
+    return as_json(report.totals(records), records)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+__all__ = ["Column", "flagship", "oracle_sql", "queries"]
