@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType
 
 from . import lexicon as lx
 
+# French function words that tell French where no statistical language is at hand.
+FRENCH = "(?:^|[^a-z\\x{00E0}-\\x{00FF}])(?:et|de|les|pour|avec)(?:$|[^a-z\\x{00E0}-\\x{00FF}])"
 ARABIC = "[\\x{0600}-\\x{06FF}\\x{FB50}-\\x{FEFF}]"
 
 
@@ -149,7 +151,7 @@ def detect_language(c, statistical: Column | None = None) -> Column:
     """ar, fr or en: blank is en, over a quarter Arabic letters is ar, else the statistical language folded to
     the three (Romance to fr, the rest to en), or French function words where there is none."""
     c = _c(c)
-    french = F.lower(c).rlike("\\b(?:et|de|les|pour|avec)\\b")
+    french = F.lower(c).rlike(FRENCH)
     rest = F.when(french, "fr").otherwise("en") if statistical is None else fold_language(statistical)
     return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "en").when(arabic_share(c) > 0.25, "ar").otherwise(rest)
 

@@ -20,7 +20,7 @@ ATTESTATIONS = (
     r"(?iu)(?:نشهد\s+أن|يشهد\s+أن)\s+(?:السيد|السيدة|الآنسة|الطالب|التلميذ)?\s*([^\n\r,]+?)(?:\s*,|\s+قد|\s+أنه|\n|\r)",
 )
 # Fixed value: labels that a name follows on the line, with the next line up to a colon.
-LABEL = r"(?iu)(?:^|[^A-Za-z0-9_])(?:Nom(?:\s+et\s+pr[eé]nom)?|Name|الاسم(?:\s+الكامل)?|المرشح|صاحب\s+السيرة)\s*[:\-]\s*([^\n\r]+(?:\n[^\n\r:]+)?)"
+LABEL = r"(?iu)(?:^|[^A-Za-z0-9_\x{00C0}-\x{024F}])(?:Nom(?:\s+et\s+pr[eé]nom)?|Name|الاسم(?:\s+الكامل)?|المرشح|صاحب\s+السيرة)\s*[:\-]\s*([^\n\r]+(?:\n[^\n\r:]+)?)"
 
 
 def label_candidate(text: Column | str, stopwords: list[str] = lx.STOPWORDS) -> Column:

@@ -179,7 +179,7 @@ def name_guard_lines(spark, d):
 
 
 @_query(
-    f"SELECT page_id, (line_no)::INT AS line_no, line FROM (SELECT page_id, unnest(range(len(ls))) AS line_no, substr(unnest(ls), 1, 500) AS line FROM (SELECT page_id, list_filter(list_transform(string_split(raw_text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 3)[1:30] AS ls FROM {_PAGES} WHERE raw_text IS NOT NULL)) "
+    f"SELECT page_id, (line_no)::INT AS line_no, line FROM (SELECT page_id, unnest(range(len(ls))) AS line_no, substr(unnest(ls), 1, 500) AS line FROM (SELECT page_id, list_filter(list_transform(string_split(raw_text, chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) >= 3)[1:30] AS ls FROM {_PAGES} WHERE raw_text IS NOT NULL)) "
     f"WHERE NOT contains(line, '@') AND NOT regexp_matches(line, '^[0-9+\\s\\-–/.]+$') AND lower(string_split_regex(line, '\\s+')[1]) NOT IN {_in(lx.SECTIONS)}"
 )
 def first30_lines(spark, d):
@@ -193,7 +193,7 @@ def lang_family(spark, d):
 
 _N_AR = "length(regexp_replace(raw_text, '[^\\x{0621}-\\x{064A}]', '', 'g'))"
 _N_LAT = "length(regexp_replace(raw_text, '[^A-Za-z\\x{00C0}-\\x{024F}]', '', 'g'))"
-_DETECT = f"CASE WHEN trim(coalesce(raw_text, '')) = '' THEN 'en' WHEN {_N_AR}::DOUBLE / greatest({_N_AR} + {_N_LAT}, 1) > 0.25 THEN 'ar' WHEN regexp_matches(lower(raw_text), '\\b(?:et|de|les|pour|avec)\\b') THEN 'fr' ELSE 'en' END"
+_DETECT = f"CASE WHEN trim(coalesce(raw_text, ''), ' ') = '' THEN 'en' WHEN {_N_AR}::DOUBLE / greatest({_N_AR} + {_N_LAT}, 1) > 0.25 THEN 'ar' WHEN regexp_matches(lower(raw_text), {_s(T.FRENCH)}) THEN 'fr' ELSE 'en' END"
 
 
 @_query(f"SELECT page_id, {_DETECT} AS lang FROM {_PAGES}")
@@ -202,7 +202,7 @@ def script_gate(spark, d):
 
 
 @_query(
-    f"SELECT doc_id, list_transform(list_sort(list(struct_pack(p := p, lang := lang))), lambda x: x.lang)::VARCHAR AS languages FROM (SELECT doc_id, {_DETECT} AS lang, min(page_no) AS p FROM {_PAGES} WHERE trim(coalesce(raw_text, '')) <> '' GROUP BY 1, 2) GROUP BY doc_id"
+    f"SELECT doc_id, list_transform(list_sort(list(struct_pack(p := p, lang := lang))), lambda x: x.lang)::VARCHAR AS languages FROM (SELECT doc_id, {_DETECT} AS lang, min(page_no) AS p FROM {_PAGES} WHERE trim(coalesce(raw_text, ''), ' ') <> '' GROUP BY 1, 2) GROUP BY doc_id"
 )
 def languages_per_file(spark, d):
     p = _pages(spark, d).where(F.trim(F.coalesce("raw_text", F.lit(""))) != "").withColumn("lang", T.detect_language("raw_text"))
@@ -212,7 +212,7 @@ def languages_per_file(spark, d):
 
 # ---- routing and pages -----------------------------------------------------------------------------
 
-_NC = "length(trim(coalesce(raw_text, '')))"
+_NC = "length(trim(coalesce(raw_text, ''), ' '))"
 
 
 @_query(
@@ -285,7 +285,7 @@ def files_beside_cv(spark, d):
 
 _AL = "[\\x{0600}-\\x{06FF}]"
 _FOLD = lambda c: f"translate(regexp_replace({c}, '[\\x{{0640}}\\x{{064B}}-\\x{{065F}}\\x{{0670}}]', '', 'g'), 'إأآٱ', 'اااا')"
-_COLL = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+_COLL = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'), ' ')"
 _CLEAN = lambda c: f"regexp_replace(regexp_replace({_COLL(c)}, '(?i)^(?:{lx.HONORIFICS})\\s+', ''), '^(?:{lx.PLACES})\\s*', '')"
 _FOLDED = [g.translate(str.maketrans("إأآٱ", "اااا")) for g in (*lx.GIVEN_NAMES, *lx.ARABIC_FIRST_NAMES)]
 _ABD = lambda c: f"CASE WHEN contains({c}, 'عبد ') THEN replace({c}, 'عبد ', 'عبد') WHEN contains({c}, 'عبد') THEN regexp_replace({c}, 'عبد([\\x{{0621}}-\\x{{064A}}]+)', 'عبد \\1', 'g') END"
@@ -323,7 +323,7 @@ def dossier_propagation(spark, d):
 
 
 @_query(
-    f"SELECT page_id, term, n_hits FROM (SELECT p.page_id, t.term, ((length(lower(raw_text)) - length(replace(lower(raw_text), t.term, ''))) // length(t.term))::INT AS n_hits FROM {_PAGES} p JOIN {_terms_sql(_DOSS)} t ON p.dossier_id = t.k WHERE trim(raw_text) <> '') WHERE n_hits > 0"
+    f"SELECT page_id, term, n_hits FROM (SELECT p.page_id, t.term, ((length(lower(raw_text)) - length(replace(lower(raw_text), t.term, ''))) // length(t.term))::INT AS n_hits FROM {_PAGES} p JOIN {_terms_sql(_DOSS)} t ON p.dossier_id = t.k WHERE trim(raw_text, ' ') <> '') WHERE n_hits > 0"
 )
 def name_term_hits(spark, d):
     return identity.term_hits(_pages(spark, d), _dossier_terms(spark, d), ["page_id"], "raw_text").select("page_id", "term", "n_hits")
@@ -335,7 +335,7 @@ _LSEP = T.LABEL_SEPARATORS
 
 
 @_query(
-    f"SELECT page_id, list_aggregate(w, 'string_agg', ' ') AS name FROM (SELECT page_id, c, list_filter(string_split_regex(c, '[\\s\\-_]+'), lambda x: x <> '') AS w FROM (SELECT page_id, trim(regexp_replace(trim(string_split_regex({_COLL(f'regexp_extract(raw_text, {_s(_LAB)}, 1)')}, {_s(_LSEP)})[1]), {_s(_KEEP)}, '', 'g')) AS c FROM {_PAGES} WHERE raw_text IS NOT NULL)) "
+    f"SELECT page_id, list_aggregate(w, 'string_agg', ' ') AS name FROM (SELECT page_id, c, list_filter(string_split_regex(c, '[\\s\\-_]+'), lambda x: x <> '') AS w FROM (SELECT page_id, trim(regexp_replace(trim(string_split_regex({_COLL(f'regexp_extract(raw_text, {_s(_LAB)}, 1)')}, {_s(_LSEP)})[1], ' '), {_s(_KEEP)}, '', 'g'), ' ') AS c FROM {_PAGES} WHERE raw_text IS NOT NULL)) "
     f"WHERE len(w) BETWEEN 1 AND 4 AND NOT regexp_matches(c, '[0-9]') AND len(list_filter(w, lambda x: lower(x) IN {_in([*lx.MONTHS, *lx.STOPWORDS])})) = 0"
 )
 def label_extract(spark, d):
@@ -343,7 +343,7 @@ def label_extract(spark, d):
 
 
 def _attest_sql(p: str) -> str:
-    c = f"trim(string_split_regex({_COLL(f'regexp_extract(raw_text, {_s(p.replace("(?iu)", "(?i)"))}, 1)')}, {_s(T.ATTESTATION_SEPARATORS)})[1])"
+    c = f"trim(string_split_regex({_COLL(f'regexp_extract(raw_text, {_s(p.replace("(?iu)", "(?i)"))}, 1)')}, {_s(T.ATTESTATION_SEPARATORS)})[1], ' ')"
     w = "list_filter(string_split_regex(c, '\\s+'), lambda x: x <> '')"
     ok = f"len({w}) BETWEEN 2 AND 4 AND len(list_filter({w}, lambda x: lower(x) IN {_in([*lx.STOPWORDS, *lx.INSTITUTIONS])})) = 0"
     return f"SELECT page_id, unnest(list_concat([list_aggregate({w}, 'string_agg', ' ')], list_filter({w}, lambda x: length(x) >= 4 AND x[1] = upper(x[1])))) AS name FROM (SELECT page_id, {c} AS c FROM {_PAGES} WHERE raw_text IS NOT NULL) WHERE {ok}"
@@ -398,7 +398,7 @@ def arabic_word_hits(spark, d):
 
 _CLASS = "CASE WHEN regexp_matches(regexp_replace(line, '[\\s.-]', '', 'g'), {p}) THEN 'PHONE_NUMBER' WHEN contains(line, '@') AND contains(line, '.') THEN 'EMAIL_ADDRESS' END".format(p=_s(P.OCR_PHONE))
 _NAMED = "coalesce(len(list_filter(terms, lambda t: length(t) >= 4 AND contains(lower(line), t))) > 0, false)"
-_STOP, _GIV = f"lower(trim(line)) IN {_in(lx.STOPWORDS)}", f"lower(trim(line)) IN {_in(lx.GIVEN_NAMES)}"
+_STOP, _GIV = f"lower(trim(line, ' ')) IN {_in(lx.STOPWORDS)}", f"lower(trim(line, ' ')) IN {_in(lx.GIVEN_NAMES)}"
 
 
 @_query(
@@ -525,12 +525,12 @@ def box_transforms(spark, d):
     return out
 
 
-_SPANS = f"(SELECT page_id AS doc_id, (line_no // 2)::INT AS block_no, line_no::INT AS line_no, line AS text, (9 + (length(line) * 7 + line_no * 5) % 15)::DOUBLE AS font, ((line_no // 2) * 60)::DOUBLE AS y0 FROM {_HEAD} WHERE trim(line) <> '' AND (line_no // 2) * 60 < 842 * 0.4)"
+_SPANS = f"(SELECT page_id AS doc_id, (line_no // 2)::INT AS block_no, line_no::INT AS line_no, line AS text, (9 + (length(line) * 7 + line_no * 5) % 15)::DOUBLE AS font, ((line_no // 2) * 60)::DOUBLE AS y0 FROM {_HEAD} WHERE trim(line, ' ') <> '' AND (line_no // 2) * 60 < 842 * 0.4)"
 _SW = "list_filter(string_split_regex(name, '[\\s\\-]+'), lambda x: x <> '')"
 
 
 @_query(
-    f"WITH s AS {_SPANS}, m AS (SELECT *, max(font) OVER (PARTITION BY doc_id, block_no) AS most FROM s), c AS (SELECT doc_id, max(most) AS font, y0, string_agg(trim(text), ' ' ORDER BY line_no) AS text FROM m WHERE most >= 13 AND font >= most - 3.5 GROUP BY doc_id, block_no, y0 UNION ALL SELECT doc_id, font, y0, trim(text) FROM m WHERE most < 13), "
+    f"WITH s AS {_SPANS}, m AS (SELECT *, max(font) OVER (PARTITION BY doc_id, block_no) AS most FROM s), c AS (SELECT doc_id, max(most) AS font, y0, string_agg(trim(text, ' '), ' ' ORDER BY line_no) AS text FROM m WHERE most >= 13 AND font >= most - 3.5 GROUP BY doc_id, block_no, y0 UNION ALL SELECT doc_id, font, y0, trim(text, ' ') FROM m WHERE most < 13), "
     f"n AS (SELECT doc_id, font, y0, regexp_replace({_CLEAN('text')}, '^[ :,;.\\-/|*]+|[ :,;.\\-/|*]+$', '', 'g') AS name FROM c) SELECT doc_id, name, font, y0 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY font DESC, y0, name) AS rn FROM n WHERE NOT regexp_matches(name, '[0-9]') AND NOT regexp_matches(name, '@|http|www|\\.com|\\.ma|\\.fr') "
     f"AND len(list_filter({_SW}, lambda x: lower(x) IN {_in([*lx.MONTHS, *lx.STOPWORDS])})) = 0 AND len(list_filter({'[' + ', '.join(map(_s, lx.HEADINGS)) + ']'}, lambda h: contains(upper(name), h))) = 0 "
     f"AND ((len({_SW}) BETWEEN 2 AND 4 AND length(name) BETWEEN 4 AND 40) OR (len({_SW}) = 1 AND length(name) BETWEEN 4 AND 25 AND font >= 18))) WHERE rn = 1"
