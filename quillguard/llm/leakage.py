@@ -9,7 +9,8 @@ WINDOW = 2  # fingerprints of which the least is kept: every shared run of K + W
 LEAST = 15  # item words from the first to the last intact word of a stretch (sixteen with one altered end)
 PER_ERROR = 8  # item words for each altered, dropped or foreign word
 PENALTY = 3  # price of an error against an intact word when stretches are grown
-SEEDED = 9  # intact words in runs on neighbouring diagonals that make a pair worth aligning
+SEEDED = 6  # words of the seeded runs on neighbouring diagonals: of sixteen with two altered, runs of five or more hold six
+INTACT = LEAST - LEAST // PER_ERROR - 1  # words that window and item must have in common in order to be aligned
 
 
 def _hash(gram: tuple[int, ...]) -> int:
@@ -62,7 +63,11 @@ class Index:
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text or "")]
             self.items[item] = ids
+        self.masks: dict[int, dict[int, int]] = {}
         for item, ids in self.items.items():
+            m = self.masks[item] = {}
+            for i, w in enumerate(ids):
+                m[w] = m.get(w, 0) | 1 << i
             # the test side keeps every gram, so that a document's fingerprint is met wherever it falls
             for i in range(len(ids) - K + 1):
                 self.prints.setdefault(tuple(ids[i : i + K]), []).append((item, i))
@@ -103,6 +108,8 @@ class Index:
         for item, diagonals in seeds.items():
             target = self.items[item]
             for lo, hi in self._regions(ids, target, diagonals):
+                if common_in_order(ids[lo:hi], self.masks[item], len(target)) < INTACT:
+                    continue
                 got = align(ids[lo:hi], target)
                 if got:
                     intact, span, first, last = got
@@ -147,6 +154,18 @@ class Index:
         return regions
 
 
+def common_in_order(text: list[int], masks: dict[int, int], n: int) -> int:
+    """Length of the longest common subsequence, one integer operation per word of the text."""
+    full = (1 << n) - 1
+    v = full
+    for w in text:
+        m = masks.get(w)
+        if m is not None:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
 def align(text: list[int], target: list[int]) -> tuple[int, int, int, int] | None:
     """Best stretch of the item in a window of text: (intact words, item words, first and last text word)."""
     m = len(target)
