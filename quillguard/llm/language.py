@@ -30,6 +30,7 @@ class Model:
     def __init__(self, words: dict[str, tuple[float, ...]], grams: dict[str, tuple[float, ...]]):
         self.words, self.grams = words, grams
         self.unseen = lru_cache(200_000)(self._unseen)
+        self.piece = lru_cache(300_000)(self._piece)
 
     def _unseen(self, word: str) -> tuple[float, ...]:
         w = f" {word} "
@@ -43,6 +44,29 @@ class Model:
         # an unseen word (a name, a rare word) may tilt a sentence only a little
         return tuple(max(-1.5, 0.25 * (x - top)) for x in total)
 
+    def _piece(self, piece: str) -> tuple[float, ...]:
+        """Log-likelihoods of the words of a piece of text between white space, and -1 for an Arabic one."""
+        a = [0.0] * (len(LATIN) + 1)
+        if _DOMAIN.search(piece.lower()):
+            return tuple(a)
+        for w in _WORD.findall(piece.lower()):
+            if w[0] > "؀":
+                a[-1] += 1
+            else:
+                for k, x in enumerate(self.words.get(w) or self.unseen(w)):
+                    a[k] += x
+        return tuple(a)
+
+    def document(self, text: str) -> str:
+        """Language of a whole text from its distinct words; empty for a text without words."""
+        pieces = set(text.split())
+        sums = [sum(x) for x in zip(*map(self.piece, pieces))] if pieces else []
+        if not sums or not any(sums):
+            return ""
+        if 2 * sums[-1] >= len(pieces):
+            return "ar"
+        return LATIN[max(range(len(LATIN)), key=sums.__getitem__)]
+
     def score(self, text: str) -> tuple[float, ...] | None:
         """Log-likelihood per language of LANGS, relative to the best; None where there are too few words."""
         text = text.lower()
