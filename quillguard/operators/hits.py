@@ -22,26 +22,36 @@ def email_matches(text: Column | str) -> Column:
     return matches(text, P.EMAIL)
 
 
-def spans(df: DataFrame, key: list[str], text: str, regex: str, entity: str, rule: str, score: float = 1.0) -> DataFrame:
-    """Hits with their place: key, entity, rule, seq, start, end, found, score.
+def span_array(text: Column | str, regex: str, entity: str, rule: str, score: float = 1.0) -> Column:
+    """Matches with their places as an array of (start, end, found, entity, rule, score).
 
     Offsets come from the lengths of the pieces between the matches, so the regular expression stays in the
-    JVM.  Texts without a match (null ones too) give no row.
+    JVM.  Texts without a match give an empty array, null ones null.
     """
-    c = F.col(text)
-    found = df.where(c.rlike(regex)).select(*key, F.split(c, regex, -1).alias("gaps"), matches(c, regex).alias("found"))
-    place = F.aggregate(
-        F.arrays_zip("found", F.slice("gaps", 1, F.size("found")).alias("gaps")),
+    c = F.col(text) if isinstance(text, str) else text
+    found = matches(c, regex)
+    out = F.aggregate(
+        F.arrays_zip(found.alias("f"), F.slice(F.split(c, regex, -1), 1, F.size(found)).alias("g")),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out")),
         lambda a, x: F.struct(
-            (a["at"] + F.length(x["gaps"]) + F.length(x["found"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["gaps"])).alias("start"), (a["at"] + F.length(x["gaps"]) + F.length(x["found"])).alias("end"), x["found"].alias("found")))).alias("out"),
+            (a["at"] + F.length(x["g"]) + F.length(x["f"])).alias("at"),
+            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["g"])).alias("start"), (a["at"] + F.length(x["g"]) + F.length(x["f"])).alias("end"), x["f"].alias("found")))).alias("out"),
         ),
         lambda a: a["out"],
     )
-    return found.select(*key, F.posexplode(place).alias("seq", "h")).select(
-        *key, F.lit(entity).alias("entity"), F.lit(rule).alias("rule"), "seq", F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.col("h.found").alias("found"), F.lit(score).alias("score")
-    )
+    return F.transform(out, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["found"].alias("found"), F.lit(entity).alias("entity"), F.lit(rule).alias("rule"), F.lit(score).alias("score")))
+
+
+def spans(df: DataFrame, key: list[str], text: str, regex: str, entity: str, rule: str, score: float = 1.0) -> DataFrame:
+    """Hits one per row: key, entity, rule, seq, start, end, found, score.  Null texts give no row."""
+    out = df.where(F.col(text).rlike(regex)).select(*key, F.posexplode(span_array(text, regex, entity, rule, score)).alias("seq", "h"))
+    return out.select(*key, "h.entity", "h.rule", "seq", "h.start", "h.end", "h.found", "h.score")
+
+
+def resolve_array(hits_: Column) -> Column:
+    """Hits of one text that no better hit overlaps: higher score, then longer, then earlier, then by rule."""
+    better = lambda a, b: F.struct(b["score"], b["end"] - b["start"], -b["start"], b["rule"]) > F.struct(a["score"], a["end"] - a["start"], -a["start"], a["rule"])
+    return F.filter(hits_, lambda a: ~F.exists(hits_, lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]) & better(a, b)))
 
 
 def phone_hits(df: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -79,10 +89,9 @@ def resolve_overlaps(hits: DataFrame, key: list[str]) -> DataFrame:
     return hits.alias("a").join(hits.alias("b"), cond, "left_anti")
 
 
-def rule_hits(pages: DataFrame, key: list[str], text: str, lang: str, rules=P.RULES) -> DataFrame:
-    """Hits of the rule catalogue on pages of the rule's languages."""
-    out = None
-    for r in rules:
-        part = spans(pages.where(F.col(lang).isin(*r.langs)), key, text, r.regex, r.entity, r.name, r.score)
-        out = part if out is None else out.unionByName(part)
-    return out
+def rule_hits(pages: DataFrame, key: list[str], text: str, lang: str, rules=P.RULES, resolve: bool = False) -> DataFrame:
+    """Hits of the rule catalogue on pages of each rule's languages, in one pass over the pages."""
+    none = F.array().cast("array<struct<start:int,end:int,found:string,entity:string,rule:string,score:double>>")
+    each = [F.when(F.col(lang).isin(*r.langs), span_array(text, r.regex, r.entity, r.name, r.score)).otherwise(none) for r in rules]
+    found = pages.where(F.col(text).rlike("[0-9@]|\\[at\\]")).select(*key, F.flatten(F.array(*each)).alias("hits"))
+    return found.select(*key, F.explode(resolve_array(F.col("hits")) if resolve else "hits").alias("h")).select(*key, "h.*")

@@ -11,7 +11,7 @@ from ..functions import geometry as G
 from ..functions import lexicon as lx
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import hits, identity, layout, ner, ocr, report
+from ..operators import arabic, hits, identity, layout, ner, ocr, report
 from . import pipeline
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,7 +116,17 @@ def masked_fixed_width(spark, d):
 @_query()
 def rule_catalogue_hits(spark, d):
     p = _pages(spark, d).withColumn("lang", T.detect_language("raw_text"))
-    return hits.resolve_overlaps(hits.rule_hits(p, ["page_id"], "raw_text", "lang"), ["page_id"])
+    return hits.rule_hits(p, ["page_id"], "raw_text", "lang", resolve=True)
+
+
+@_query()
+def arabic_person_hits(spark, d):
+    return arabic.person_hits(_pages(spark, d), ["page_id"], "raw_text")
+
+
+@_query()
+def arabic_second_pass(spark, d):
+    return arabic.second_pass(_pages(spark, d), ["page_id"], "raw_text")
 
 
 @_query(f"SELECT page_id, unnest(list_filter(string_split_regex(found, '\\s+'), lambda x: length(x) >= 3)) AS part FROM (SELECT page_id, unnest(regexp_extract_all(raw_text, {_s(P.EMAIL)})) AS found FROM {_PAGES})")

@@ -199,3 +199,23 @@ def test_results_do_not_depend_on_partitions(spark, data):
     a = values(hits.phone_hits(p.repartition(1), ["page_id"], "raw_text"), "page_id", "start", "found")
     b = values(hits.phone_hits(p.repartition(7), ["page_id"], "raw_text"), "page_id", "start", "found")
     assert a == b and catalogue.flagship(spark, data).count() > 0
+
+
+def test_arabic_hits(spark):
+    from quillguard.operators import arabic
+
+    df = spark.createDataFrame([(1, "حضر السيد أحمد الزولتني اليوم"), (2, "الاسم: سلمى البركوني"), (3, "يوسف"), (4, None), (5, "plain"), (6, "ﺳﻠﻤﻰ البركوني")], "page_id long, raw_text string")
+    got = {(r["page_id"], r["rule"]): r["found"] for r in arabic.person_hits(df, ["page_id"], "raw_text").collect()}
+    assert got[1, "arabic_title"].startswith("السيد أحمد الزولتني") and got[2, "arabic_label"] == "سلمى البركوني" and got[3, "arabic_gazetteer"] == "يوسف"
+    assert {r["page_id"] for r in arabic.second_pass(df, ["page_id"], "raw_text").collect()} == {6}
+    back = spark.createDataFrame([(1, "الاسم: دمحأ ينتلوز")], "page_id long, raw_text string")
+    assert [r["found"] for r in arabic.reversed_words(back, ["page_id"], "raw_text", ["أحمد"]).collect()] == ["دمحأ ينتلوز"]
+    cover = arabic.person_hits(df, ["page_id"], "raw_text")
+    assert arabic.uncovered(cover, cover, ["page_id"]).count() == 0
+
+
+def test_resolution_in_row_equals_the_join(spark, data):
+    p = spark.read.parquet(f"{data}/dossier_pages.parquet").dropDuplicates(["page_id"]).withColumn("lang", T.detect_language("raw_text"))
+    all_ = hits.rule_hits(p, ["page_id"], "raw_text", "lang")
+    a = values(hits.resolve_overlaps(all_, ["page_id"]), "page_id", "start", "end", "rule")
+    assert a == values(hits.rule_hits(p, ["page_id"], "raw_text", "lang", resolve=True), "page_id", "start", "end", "rule") and a
