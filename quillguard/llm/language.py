@@ -30,7 +30,7 @@ class Model:
     def __init__(self, words: dict[str, tuple[float, ...]], grams: dict[str, tuple[float, ...]]):
         self.words, self.grams = words, grams
         self.unseen = lru_cache(200_000)(self._unseen)
-        self.piece = lru_cache(300_000)(self._piece)
+        self.piece = lru_cache(150_000)(self._piece)
 
     def _unseen(self, word: str) -> tuple[float, ...]:
         w = f" {word} "

@@ -10,7 +10,7 @@ from functools import lru_cache
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the tokenizer of the vocabulary cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 300_000  # pieces of text whose count is remembered in a worker
+CACHE = 150_000  # pieces of text whose count is remembered in a worker
 
 
 class _Counts(dict):
