@@ -91,7 +91,13 @@ class Ref:
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """Columns of each Arrow batch through a function on plain lists; ``make`` runs once for each task."""
+    """Columns of each Arrow batch through a function on plain lists; ``make`` runs once for each task.
+
+    An input of few partitions (one small file) is spread over the cores first; a large one is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if 2 * df.rdd.getNumPartitions() <= cores:
+        df = df.repartition(cores)
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
