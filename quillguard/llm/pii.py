@@ -77,7 +77,7 @@ _LABELS = (
     r"|Signé|Signed|Firmado|Gezeichnet|Unterschrift|Signature|التوقيع|المديرة|المدير|Le directeur|La directrice|Pour la direction|The head of training"
     r"|La directora|El director|Die Leiterin|Der Leiter|For the board|Por la dirección|Für die Leitung|عن الإدارة"
 )
-_LABELLED = re.compile(rf"(?m)^[ \t]*(?:{_LABELS})[ \t]*(?:[:,]|[-–—]|：)[ \t]*\n?[ \t]*((?:{TITLE}\s+)*)({_TOKEN}(?:,?{_SP}+{_TOKEN}){{0,4}})[ \t]*$")
+_LABELLED = re.compile(rf"(?m)^[ \t]*(?:{re.sub('[À-ÿ]', lambda m: f'[{m[0]}\ufffd]', _LABELS)})[ \t]*(?:[:,]|[-–—]|：)[ \t]*\n?[ \t]*((?:{TITLE}\s+)*)({_TOKEN}(?:,?{_SP}+{_TOKEN}){{0,4}})[ \t]*$")
 _LINE_NAME = re.compile(rf"^((?:{TITLE}\s+)*)({_TOKEN}(?:,?{_SP}+{_TOKEN}){{0,3}})[ \t]*$")
 _WORDS = re.compile(rf"[{_L}\ufffd]+|{_AR}")
 # Words that make a line of capitalised words a heading, a job or an organisation.
@@ -136,13 +136,13 @@ _AT = re.compile(r"@|\[ ?at ?\]|\( ?at ?\)")
 _MAIL_LEFT = re.compile(rf"[A-Za-z0-9._%+-]+{_WS}$")
 _MAIL_RIGHT = re.compile(rf"{_WS}[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}")
 
-_S = r"[ \-.\n]?"  # one separator between groups of digits
+_S = r"[ \-.]?"  # one separator between groups of digits
 _PHONE = re.compile(
     rf"(?=[+(0-7])(?<![\w+.,/-])(?:"
-    rf"(?:\+|00)(?:33|212|213|216|971|44|34|49|1){_S}(?:\(0\){_S})?(?:\(\d{{3}}\)[ \n]?\d{{3}}-\d{{4}}|\d(?:{_S}\d){{7,9}})"
+    rf"(?:\+|00)(?:33|212|213|216|971|44|34|49|1){_S}(?:\(0\){_S})?(?:\(\d{{3}}\) ?\d{{3}}-\d{{4}}|\d(?:{_S}\d){{7,9}})"
     rf"|(?:\+|00)\d(?:{_S}\d){{8,13}}"
-    rf"|\(\d{{3}}\)[ \n]?\d{{3}}[-\n ]\d{{4}}"
-    rf"|0\d{{4}}[ \n]\d{{3}}[ \n]\d{{3}}"
+    rf"|\(\d{{3}}\) ?\d{{3}}[- ]\d{{4}}"
+    rf"|0\d{{4}} \d{{3}} \d{{3}}"
     rf"|0[1-9](?:{_S}\d\d){{4}}"
     rf"|[5-7]\d{{8}}"
     rf")(?![\d/]|[-.]\d|\w)"
@@ -176,7 +176,7 @@ _W = rf"[{_L}'’-]+"
 _FR = rf"\d{{1,4}}(?:{_NL}(?:bis|ter|quater))?,?{_NL}{_FR_WAY}(?:{_NL}{_W}){{1,6}}?(?:,{_NL}(?:villa|(?:appt|[éÉ\ufffd]tage|b[âa]t\.?|apt|porte|esc\.?){_NL}?[\dA-Z]+)){{0,3}},?{_NL}\d\d{_NL}?\d{{3}}{_NL}{_PLACE}"
 _EN = (
     rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite){_NL}\d+[A-Z]?,{_NL})?\d{{1,4}}[A-Z]?,?{_NL}(?:[A-Z][\w'-]+{_NL}){{1,3}}{_EN_WAY}(?:,{_NL}(?:Unit|Flat|Apt\.?|Suite|Floor){_NL}\d+[A-Z]?)?"
-    rf",{_NL}(?:(?:North|South|East|West|New|Old|Great|Little|Upper|Lower|Saint|St\.?|Port|Mount|Fort|Lake){_NL})?[A-Z][a-z]+(?:{_NL}\d{{5}}(?!\d))?"
+    rf",{_NL}(?:(?:North|South|East|West|New|Old|Great|Little|Upper|Lower|Saint|St\.?|Port|Mount|Fort|Lake){_NL})?[A-Z][a-z]+(?: \d{{5}}(?!\d))?"
 )
 _ES = rf"{_ES_WAY}(?:{_NL}{_W}){{1,6}}?,?{_NL}\d{{1,4}}(?:,{_NL}(?:piso|planta|puerta|bajo|esc\.){_NL}?[\dº]*(?:{_NL}[A-Z](?![\w]))?)?,{_NL}(?:\d\d{_NL}?\d{{3}}{_NL})?{_PLACE}"
 _DE = rf"(?:{_DE_WAY}|(?:Am|An der|An den|Im|In der|In den|Zum|Zur|Auf dem|Auf der|Unter den|Hinter dem|Vor dem)(?:{_NL}[A-ZÄÖÜ][\wäöüß-]+){{1,3}}){_NL}\d{{1,4}}[a-z]?(?:,{_NL}(?:Wohnung|Whg\.|Stock|Etage|Hinterhaus|\d+\.{_NL}(?:Stock|OG|Etage)){_NL}?[\dA-Z]*)?,{_NL}\d{{5}}{_NL}{_PLACE}"
@@ -184,7 +184,7 @@ _ARW = r"[ء-ْ]+"
 _ARP = rf"(?:مدينة{_NL}{_ARW} {_ARW}|{_ARW}{_NL}{_ARW})"
 _ARA = (
     rf"(?:رقم{_NL}\d{{1,4}}،{_NL}{_AR_WAY}(?:{_NL}{_ARW}){{1,3}}|\d{{1,4}}،?{_NL}{_AR_WAY}(?:{_NL}{_ARW}){{1,3}}|{_AR_WAY}(?:{_NL}{_ARW}){{1,3}}?{_NL}رقم{_NL}\d{{1,4}})"
-    rf"(?:،{_NL}(?:الطابق|الشقة|شقة|طابق|عمارة){_NL}\d+)*،{_NL}{_ARP}(?:{_NL}\d{{5}}(?!\d))?"
+    rf"(?:،{_NL}(?:الطابق|الشقة|شقة|طابق|عمارة){_NL}\d+)*،{_NL}{_ARP}(?: \d{{5}}(?!\d))?"
 )
 # Words of which an address of each shape has at least one.
 _ADDRESSES = [
