@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -65,16 +66,17 @@ def text_models(spark: SparkSession, documents: DataFrame) -> Broadcast:
 
 
 @lru_cache(4)
-def _worker(key: int, ref) -> tuple[language.Model, encodings.Repairer]:
+def _worker(key: str, ref) -> tuple[language.Model, encodings.Repairer]:
     words, grams, dictionaries = ref.value
     return language.Model(words, grams), encodings.Repairer(dictionaries)
 
 
 class Ref:
-    """A broadcast that counts as equal to itself, as a key of the worker's cache."""
+    """Models in a broadcast, with a name of their own under which a worker remembers them."""
 
     def __init__(self, b: Broadcast):
         self.b = b
+        self.key = uuid4().hex
 
     @property
     def value(self):
@@ -87,7 +89,7 @@ class Ref:
         return True
 
     def models(self) -> tuple[language.Model, encodings.Repairer]:
-        return _worker(self.b._jbroadcast.id() if self.b._jbroadcast is not None else id(self.b), self)
+        return _worker(self.__dict__.get("key", ""), self)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
