@@ -75,17 +75,17 @@ def _rename(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def fuse(seg: DataFrame, declared: DataFrame) -> DataFrame:
-    """Language and confidence of each stretch from all evidence.
+    """Language and confidence of each stretch from all evidence; pages without a file have the corpus's prior.
 
     ``declared``: doc_id, languages (array, null counts as empty).  All tables that are joined hold one row
-    per dossier, file, suffix or declared set; the corpus-wide shares are one row.
+    per dossier, file, suffix or declared set; the corpus-wide shares are five numbers.
     """
     best = F.array_max("ll")
     label = F.element_at(F.array(*map(F.lit, LANGS)), F.array_position("ll", best).cast("int"))
     second = F.element_at(F.sort_array("ll", asc=False), 2)
     sure = seg.withColumn("label", label).where(best - second >= CONFIDENT)
 
-    whole = _rename(sure.agg(*_counts(F.col("label"))), "w_")
+    whole = sure.agg(*_counts(F.col("label"))).first()  # five numbers
     by_doc = sure.groupBy("doc_id").agg(F.min("dossier_id").alias("host"), *_counts(F.col("label")))
     by_host = _rename(by_doc.where(F.col("host").isNotNull()).groupBy("host").agg(*[F.sum(f"n_{x}").alias(f"n_{x}") for x in LANGS]), "h_")
     by_suffix = _rename(sure.where(F.col("suffix") != "").groupBy("suffix").agg(*_counts(F.col("label"))), "s_")
@@ -94,14 +94,14 @@ def fuse(seg: DataFrame, declared: DataFrame) -> DataFrame:
         by_doc.join(decl, "doc_id").groupBy("declared").agg(*[F.sum(F.least(f"n_{x}", F.lit(1.0))).alias(f"n_{x}") for x in LANGS]).transform(lambda d: _rename(d, "d_"))
     )
 
-    base = [(F.col(f"w_{x}") + 1.0) / (sum((F.col(f"w_{y}") for y in LANGS), F.lit(float(len(LANGS))))) for x in LANGS]
+    n = [whole[f"n_{x}"] or 0.0 for x in LANGS]
+    base = [F.lit((x + 1.0) / (sum(n) + len(LANGS))) for x in n]
     docs = (
         seg.select("doc_id", "dossier_id").groupBy("doc_id").agg(F.min("dossier_id").alias("host"))
         .join(_rename(by_doc.drop("host"), "f_"), "doc_id", "left")
         .join(by_host, "host", "left")
         .join(decl, "doc_id", "left")
         .join(by_decl, "declared", "left")
-        .crossJoin(F.broadcast(whole))  # one row
     )
     host = _share("h_", base)
     prior = _share("f_", host)
@@ -109,11 +109,12 @@ def fuse(seg: DataFrame, declared: DataFrame) -> DataFrame:
     docs = docs.select(
         "doc_id",
         F.array(*[F.log(p) + EVIDENCE_WEIGHT * (F.log(e) - F.log(b)) for p, e, b in zip(prior, evidence, base)]).alias("log_prior"),
-        F.array(*base).alias("base"),
     )
-    joined = seg.join(docs, "doc_id", "left").join(by_suffix, "suffix", "left")
-    suffix = _share("s_", [F.col("base")[i] for i in range(len(LANGS))])
-    post = F.array(*[F.col("ll")[i] + F.col("log_prior")[i] + EVIDENCE_WEIGHT * (F.log(suffix[i]) - F.log(F.col("base")[i])) for i in range(len(LANGS))])
+    # pages without an address are most of all: spread over keys that match nothing
+    none = F.concat(F.lit("#"), F.pmod(F.xxhash64("page_id"), F.lit(4096)).cast("string"))
+    joined = seg.join(docs, "doc_id", "left").withColumn("suffix", F.when(F.col("suffix") == "", none).otherwise(F.col("suffix"))).join(by_suffix, "suffix", "left")
+    suffix = _share("s_", base)
+    post = F.array(*[F.col("ll")[i] + F.coalesce(F.col("log_prior")[i], F.log(base[i])) + EVIDENCE_WEIGHT * (F.log(suffix[i]) - F.log(base[i])) for i in range(len(LANGS))])
     joined = joined.withColumn("post", post)
     top = F.array_max("post")
     return joined.select(
@@ -138,7 +139,7 @@ def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose recorded languages are not those of their full sentences, with each real language."""
-    real = p1_segments(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_set("lang")).alias("langs"))
+    real = p1_segments(spark, sf_dir).where("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("lang")).alias("langs"))
     recorded = table(spark, sf_dir, "file_summaries").select("doc_id", F.explode_outer("languages_detected").alias("lang"))
     recorded = recorded.groupBy("doc_id").agg(F.sort_array(F.collect_set("lang")).alias("recorded"))
     return (

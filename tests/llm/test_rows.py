@@ -23,6 +23,7 @@ def pages(spark):
         (3, None, None, None, None, "clash"),
         (4, None, 11, "", " ", "clash"),
         (None, "D", 11, "We sold the old van.\n" * 3000, "", None),
+        (5, None, None, "The team sold the old van near the north depot.", None, "clash"),
     ]
     return spark.createDataFrame(rows, "page_id long, dossier_id string, doc_id long, raw_text string, header_text string, seg_no string")
 
@@ -52,7 +53,7 @@ def test_fusion(spark, pages, ref):
     seg = common.materialize(P1.segments(pages, ref).dropDuplicates(["page_id", "seg_no"]))
     declared = spark.createDataFrame([(10, ["fr"]), (10, ["fr"]), (11, None)], "doc_id long, languages array<string>")
     got = {(r["page_id"], r["lang"]) for r in P1.fuse(seg, declared).collect()}
-    assert got == {(1, "fr"), (2, "en"), (None, "en")}
+    assert got == {(1, "fr"), (2, "en"), (None, "en"), (5, "en")}
     assert all(0 < r["confidence"] <= 1 for r in P1.fuse(seg, declared).collect())
     empty = common.materialize(P1.segments(pages.limit(0), ref))
     assert P1.fuse(empty, declared.limit(0)).count() == 0
