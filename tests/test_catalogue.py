@@ -37,4 +37,5 @@ def test_against_sql(spark, data, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_rows_only(spark, data, name):
-    assert catalogue.queries()[name](spark, data).count() > 0
+    d = data.replace("0.001", "0.01") if name == "arabic_second_pass" else data  # the smallest pages have no presentation forms
+    assert catalogue.queries()[name](spark, d).count() > 0
