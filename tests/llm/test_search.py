@@ -81,6 +81,17 @@ def test_resolution_and_pairs(spark):
     assert P4.resolve(df.limit(0), "name_id", "name").count() == 0
 
 
+def test_frequent_slips_of_a_large_name_are_linked(spark):
+    """Two-edit (person) and three-edit (organisation) slips seen often; two names of like frequency stay apart."""
+    from quillguard.llm import p4_names as P4
+
+    spelt = [("Karima Brudwimpal", 60, 0), ("Karima Bruxwimqal", 6, 0), ("Groupe Braclizdeg Chichoucgrip", 40, 1), ("Groupe Braxlizdeg Chichxucgrid", 5, 1), ("Tariq Mofrandil", 9, 2), ("Tariq Mofrentil", 7, 3)]
+    rows = [(n, e) for n, k, e in spelt for _ in range(k)]
+    df = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(rows)], "name_id long, name string")
+    got = {r["name_id"]: r["entity"] for r in P4.resolve(df, "name_id", "name").collect()}
+    assert all((got[a] == got[b]) == (x[1] == y[1]) for a, x in enumerate(rows) for b, y in enumerate(rows))
+
+
 def test_blocks_list_each_pair_once(spark, monkeypatch):
     from quillguard.llm import p4_names as P4
 
