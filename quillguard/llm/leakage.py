@@ -8,7 +8,7 @@ K = 4  # words of a fingerprint
 WINDOW = 2  # fingerprints of which the least is kept: every shared run of K + WINDOW - 1 words is met
 LEAST = 15  # item words from the first to the last intact word of a stretch (sixteen with one altered end)
 PER_ERROR = 8  # item words for each altered, dropped or foreign word
-PENALTY = 3  # price of an error against an intact word when stretches are grown
+PENALTY = 3  # price of an error against an intact word when the extent of a stretch is chosen
 SEEDED = 6  # words of the seeded runs on neighbouring diagonals: of sixteen with two altered, runs of five or more hold six
 INTACT = LEAST - LEAST // PER_ERROR - 1  # words that window and item must have in common in order to be aligned
 
@@ -107,19 +107,18 @@ class Index:
         out = []
         for item, diagonals in seeds.items():
             target = self.items[item]
-            for lo, hi in self._regions(ids, target, diagonals):
+            for lo, hi, runs in self._regions(ids, target, diagonals):
                 if common_in_order(ids[lo:hi], self.masks[item], len(target)) < INTACT:
                     continue
-                got = align(ids[lo:hi], target)
-                if got:
-                    intact, span, first, last = got
-                    out.append((item, intact, span, lo + first, lo + last))
+                found = [got for run in runs if (got := stretch(ids, target, run))]
+                if found:
+                    out.append((item, *max(found)))
                     break
         return out
 
     @staticmethod
-    def _regions(ids: list[int], target: list[int], diagonals: dict[int, list[int]]) -> list[tuple[int, int]]:
-        """Windows of the text in which enough of the item stands on neighbouring diagonals."""
+    def _regions(ids: list[int], target: list[int], diagonals: dict[int, list[int]]) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+        """Windows of the text in which enough of the item stands on neighbouring diagonals, with the shared runs."""
         runs = []
         for d, places in diagonals.items():
             end = -1
@@ -150,7 +149,7 @@ class Index:
             if len(covered) >= SEEDED:
                 lo = min(d for d, _, _ in g) - slack
                 hi = max(d for d, _, _ in g) + len(target) + slack
-                regions.append((max(0, lo), min(len(ids), hi)))
+                regions.append((max(0, lo), min(len(ids), hi), g))
         return regions
 
 
@@ -166,29 +165,58 @@ def common_in_order(text: list[int], masks: dict[int, int], n: int) -> int:
     return n - v.bit_count()
 
 
-def align(text: list[int], target: list[int]) -> tuple[int, int, int, int] | None:
-    """Best stretch of the item in a window of text: (intact words, item words, first and last text word)."""
-    m = len(target)
-    # per item place: score, intact, errors, first item word, first text word of the best stretch ending there
-    empty = (0, 0, 0, -1, -1)
-    above = [empty] * (m + 1)
+def reach(text: list[int], target: list[int], most: int) -> list[tuple[int, int, int]]:
+    """How far the item goes on in the text from where both begin, with 0, 1, ... most errors.
+
+    Of each number of errors: item words, text words and intact words up to the last intact word.  On every
+    diagonal the furthest place is kept, so no way with as many errors gets further.
+    """
+    n, m = len(text), len(target)
+    i = 0
+    while i < n and i < m and text[i] == target[i]:
+        i += 1
+    front = {0: (i, i)}  # diagonal (text place less item place): item place, intact words
+    out = [(i, i, i)]
+    for e in range(1, most + 1):
+        if out[-1][0] == m:
+            break
+        new, far = {}, out[-1]
+        for d in range(-e, e + 1):
+            ways = []
+            if (x := front.get(d)) is not None:  # altered
+                ways.append((x[0] + 1, x[1]))
+            if (x := front.get(d - 1)) is not None:  # foreign
+                ways.append(x)
+            if (x := front.get(d + 1)) is not None:  # dropped
+                ways.append((x[0] + 1, x[1]))
+            ways = [x for x in ways if x[0] <= m and x[0] + d <= n]
+            if not ways:
+                continue
+            i, intact = start = max(ways)
+            while i < m and i + d < n and text[i + d] == target[i]:
+                i += 1
+            new[d] = (i, intact + i - start[0])
+            if i > start[0] and i > far[0]:
+                far = (i, i + d, new[d][1])
+        front = new
+        out.append(far)
+    return out
+
+
+def stretch(ids: list[int], target: list[int], run: tuple[int, int, int]) -> tuple[int, int, int, int] | None:
+    """Best stretch of the item about a shared run (diagonal, first text word, end): intact words, item words,
+    first and last text word.  Errors may stand near either end; None where no stretch is long and sound enough."""
+    d, a, b = run
+    most = (len(target) + PER_ERROR - 1) // PER_ERROR
+    room = len(target) + most
+    before = reach(ids[max(0, a - room) : a][::-1], target[: a - d][::-1], most)
+    after = reach(ids[b : b + room], target[b - d :], most)
     best = None
-    for j, w in enumerate(text):
-        row = [empty] * (m + 1)
-        for i in range(1, m + 1):
-            s = above[i - 1]
-            if w == target[i - 1]:
-                x = (s[0] + 1, s[1] + 1, s[2], s[3] if s[3] >= 0 else i - 1, s[4] if s[4] >= 0 else j)
-                row[i] = x
-                if x[0] > 4 and i - x[3] >= LEAST and x[2] * PER_ERROR < i - x[3] + PER_ERROR and (best is None or x[0] > best[0]):
-                    best = (x[0], x[1], i - x[3], x[4], j)
-            else:
-                up, left = above[i], row[i - 1]
-                if up[0] > s[0]:
-                    s = up
-                if left[0] > s[0]:
-                    s = left
-                if s[0] > PENALTY:
-                    row[i] = (s[0] - PENALTY, s[1], s[2] + 1, s[3], s[4])
-        above = row
+    for e, (i, j, x) in enumerate(before):
+        for f, (k, n, y) in enumerate(after):
+            span, intact = i + b - a + k, x + b - a + y
+            if span >= LEAST and (e + f) * PER_ERROR < span + PER_ERROR:
+                got = (intact - PENALTY * (e + f), intact, span, a - j, b + n - 1)
+                if best is None or got[0] > best[0]:
+                    best = got
     return None if best is None else best[1:]

@@ -30,8 +30,9 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
     """Documents with a leaked stretch of a test item: key, item_id, n_intact, n_span, first_word, last_word.
 
     Every document is fingerprinted (least of each WINDOW K-word fingerprints), the fingerprints are joined
-    with those of the test items, whose index every worker holds, and the hits are extended by alignment.  Guarantee: each shared run
-    of K + WINDOW - 1 = 5 words is met, and a stretch of sixteen words with two altered has one.  Null and
+    with those of the test items, whose index every worker holds, and the hits are extended both ways to the furthest place for each
+    number of errors.  Guarantee: each shared run of K + WINDOW - 1 = 5 words is met, and a stretch of sixteen
+    words with two altered has one, wherever in between the altered words stand.  Null and
     empty texts leak nothing; repeated documents give repeated rows; an empty test set gives no row.
     """
     kind, item_kind = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]

@@ -161,6 +161,17 @@ def test_leaks_are_found():
         assert [h[0] for h in index.search(text)] == [1]
 
 
+@pytest.mark.parametrize("places", [[k] for k in range(1, 15)] + [[2, 13], [3, 12], [2, 3], [12, 13], [2, 8]])
+def test_leaks_altered_near_an_end(places):
+    """Sixteen words of an item, of which any one or two between the ends are altered."""
+    index = W.Index([(1, ITEM)])
+    ws = words(ITEM)
+    for a in range(len(ws) - 15):
+        part = ["zzz" if k in places else w for k, w in enumerate(ws[a : a + 16])]
+        got = index.search("the office sold " + " ".join(part) + " by phone")
+        assert got == [(1, 16 - len(places), 16, 3, 18)]
+
+
 def test_short_stretches_are_no_leaks():
     index = W.Index([(1, ITEM)])
     ws = words(ITEM)
