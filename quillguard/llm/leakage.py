@@ -81,7 +81,7 @@ class Index:
         return out
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """Leaked items of a text: (item, intact words, item words spanned, first and last word in the text)."""
+        """Every leaked stretch of a text: (item, intact words, item words spanned, first and last word in the text)."""
         if not text:
             return []
         return self.search_ids(self.ids(text))
@@ -107,13 +107,15 @@ class Index:
         out = []
         for item, diagonals in seeds.items():
             target = self.items[item]
+            found: list[tuple[int, int, int, int]] = []
             for lo, hi, runs in self._regions(ids, target, diagonals):
                 if common_in_order(ids[lo:hi], self.masks[item], len(target)) < INTACT:
                     continue
-                found = [got for run in runs if (got := stretch(ids, target, run))]
-                if found:
-                    out.append((item, *max(found)))
-                    break
+                for run in sorted(runs, key=lambda r: r[1] - r[2]):
+                    if not any(x <= run[1] and run[2] <= y + 1 for _, _, x, y in found) and (got := stretch(ids, target, run)) and got[2:] not in [x[2:] for x in found]:
+                        found.append(got)
+            # of a stretch that lies within another, only the outer one
+            out += [(item, *x) for x in found if not any(y[2] <= x[2] and x[3] <= y[3] and y[2:] != x[2:] for y in found)]
         return out
 
     @staticmethod

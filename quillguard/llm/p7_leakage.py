@@ -27,7 +27,7 @@ def _chunks(items: DataFrame, key: str, text: str) -> list[list[tuple]]:
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
-    """Documents with a leaked stretch of a test item: key, item_id, n_intact, n_span, first_word, last_word.
+    """Leaked stretches of test items, one row each: key, item_id, n_intact, n_span, first_word, last_word.
 
     Every document is fingerprinted (least of each WINDOW K-word fingerprints), the fingerprints are joined
     with those of the test items, whose index every worker holds, and the hits are extended both ways to the furthest place for each
@@ -61,7 +61,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaked stretches with their extent; a document delivered twice counts once."""
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).dropDuplicates(["doc_id", "item_id"])
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).distinct()
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,19 @@ def test_leaks_altered_near_an_end(places):
         assert got == [(1, 16 - len(places), 16, 3, 18)]
 
 
+def test_every_stretch_of_an_item_is_listed():
+    """An item that leaked twice, in two pieces in either order, and in two pieces on neighbouring diagonals."""
+    index = W.Index([(1, ITEM + " " + ITEM.translate(str.maketrans("aeio", "oiea")))])
+    ws = index.items[1]
+    n = len(ws) // 2
+    text = lambda ids: " ".join(next((w for w, k in index.vocabulary.items() if k == x), "zzz") for x in ids)
+    for parts in ([ws[:18], ws[:18]], [ws[:18], ws[n : n + 18]], [ws[n : n + 18], ws[:18]]):
+        got = index.search(text([0] * 5 + parts[0] + [0] * 50 + parts[1] + [0] * 5))
+        assert sorted(h[3:] for h in got) == [(5, 22), (73, 90)]
+    got = index.search(text(ws[:18] + [0] * 9 + ws[n : n + 18]))
+    assert sorted(h[3:] for h in got) == [(0, 17), (27, 44)]
+
+
 def test_short_stretches_are_no_leaks():
     index = W.Index([(1, ITEM)])
     ws = words(ITEM)
