@@ -41,8 +41,23 @@ def own_text(text: str) -> str:
     return _QUOTE.sub("\n", text) if "..." in text or "…" in text else text
 
 
+def own_spans(text: str, skip: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words of a text as spans of words of its ``own_text``."""
+    if "..." not in text and "…" not in text:
+        return skip
+    count = lambda x: sum(_SHAPES[p][0] for p in x.split())
+    quotes, at, n = [], 0, 0
+    for m in _QUOTE.finditer(text):
+        n += count(text[at : m.start()])
+        quotes.append((n, n := n + count(m[0])))
+        at = m.end()
+    place = lambda p: p - sum(max(0, min(p, b) - a) for a, b in quotes)
+    return [(place(a), place(b)) for a, b in skip]
+
+
 def features(text: str, skip: list[tuple[int, int]] = ()) -> list[float] | None:
-    """Features of a text; ``skip`` holds spans of words (leaked passages) that do not count.
+    """Features of a text; ``skip`` holds spans of words (leaked passages) that do not count
+    any more than quoted fragments.
 
     None for a text without words.  Sentences of which more than half is skipped are left out whole.
     """
@@ -51,7 +66,9 @@ def features(text: str, skip: list[tuple[int, int]] = ()) -> list[float] | None:
     kinds: set[str] = set()
     at = 0
     get = _SHAPES.__getitem__
-    for m in _SENTENCE.finditer(own_text(text) if not skip else text):
+    if skip:
+        skip = own_spans(text, skip)
+    for m in _SENTENCE.finditer(own_text(text)):
         pieces = m[0].split()
         n = a = b = c = d = 0
         for p in pieces:

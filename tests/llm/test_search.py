@@ -241,6 +241,17 @@ def test_features_of_odd_texts():
     assert R.features("one. " * 100_000) is not None
 
 
+@pytest.mark.parametrize("quote", ["... notwithstanding heretofore, applicable provisions ...", "… notwithstanding the provisions", "heretofore applicable...", "... one. two ..."])
+def test_quotes_and_leaks_are_left_out_together(quote):
+    plain, leak = "We sold the van. It was old, but it ran well.", "A night porter counts forty torn badges. He rejects sixty."
+    want = R.features(plain + "\n" + plain)
+    a, n, q = len(words(plain)), len(words(leak)), len(words(quote))
+    for parts, at in (([plain, quote, leak, plain], a + q), ([plain, leak, quote, plain], a), ([quote, plain, leak, plain, quote], q + a)):
+        text = "\n".join(parts)
+        assert R.features(text, [(at, at + n)]) == want
+        assert R.features(text.replace(leak, ""), []) == want
+
+
 def test_common_subsequence():
     rng = random.Random(12)
     for _ in range(200):
