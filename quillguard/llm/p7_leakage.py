@@ -35,10 +35,15 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
     words with two altered has one, wherever in between the altered words stand.  Null and
     empty texts leak nothing; repeated documents give repeated rows; an empty test set gives no row.
     """
-    kind, item_kind = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
+    return block_leaks(documents, _chunks(items, item_key, text), dict(items.dtypes)[item_key], key, item_key, text)
+
+
+def block_leaks(documents: DataFrame, blocks: list[list[tuple]], item_kind: str, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+    """``leaks`` of test items in blocks, one pass for each block."""
+    kind = dict(documents.dtypes)[key]
     schema = f"{key} {kind}, {item_key} {item_kind}, n_intact int, n_span int, first_word int, last_word int"
     out = None
-    for chunk in _chunks(items, item_key, text):
+    for chunk in blocks:
         ref = documents.sparkSession.sparkContext.broadcast(chunk)
 
         def make(ref=ref):

@@ -8,14 +8,34 @@ from pyspark.sql import functions as F
 from . import reading
 from .common import Ref, hashed_sample, map_rows, table, text_models
 from .leakage import Index
-from .p7_leakage import _chunks
+from .p7_leakage import _chunks, block_leaks
 
 FIT_LABELLED = 4000  # rated documents on which the ranker is fitted, chosen by hashed id
 MIN_WORDS = 40  # words, separated by white space, of a document that gets a level
 
 
+def passages(documents: DataFrame, blocks: list[list[tuple]], item_kind: str, key: str, text: str) -> DataFrame:
+    """key, text, spans: the words (first, last) of each document that leaked from all blocks of test items but
+    the last, which is searched where the text is read anyway; the usual single block costs no pass of its own."""
+    if len(blocks) == 1:
+        return documents.select(key, text, F.expr("cast(null as array<struct<first_word:int,last_word:int>>)").alias("spans"))
+    found = block_leaks(documents, blocks[:-1], item_kind, key, "item_id", text).groupBy(key).agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
+    return documents.select(key, text).join(found, key, "left")
+
+
+def skipped(index: Index, text: str, spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Spans of words (first, end) of all leaked passages; those that meet are joined, so that no word counts twice."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted([(a, b + 1) for _, _, _, a, b in index.search(text)] + [(x["first_word"], x["last_word"] + 1) for x in spans or ()]):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def featured(documents: DataFrame, ref: Ref, items: list[tuple], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang, features of each document long enough; leaked test passages do not count."""
+    """key, lang, features of each document (of ``passages``) long enough; leaked test passages do not count."""
     shared = documents.sparkSession.sparkContext.broadcast(items)
 
     def make():
@@ -24,10 +44,10 @@ def featured(documents: DataFrame, ref: Ref, items: list[tuple], key: str = "doc
 
         def f(c):
             out = {key: [], "language": [], "features": []}
-            for k, t in zip(c[key], c[text]):
+            for k, t, spans in zip(c[key], c[text], c["spans"]):
                 if not t or len(t.split()) < MIN_WORDS:
                     continue
-                x = reading.features(t, [(a, b + 1) for _, _, _, a, b in index.search(t)])
+                x = reading.features(t, skipped(index, t, spans))
                 if x is not None:
                     out[key].append(k)
                     out["language"].append(model.document(t))
@@ -37,7 +57,7 @@ def featured(documents: DataFrame, ref: Ref, items: list[tuple], key: str = "doc
         return f
 
     kind = dict(documents.dtypes)[key]
-    return map_rows(documents.select(key, text), make, f"{key} {kind}, language string, features array<double>")
+    return map_rows(documents.select(key, text, "spans"), make, f"{key} {kind}, language string, features array<double>")
 
 
 def grades(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -58,13 +78,15 @@ def levels(documents: DataFrame, labels: DataFrame, items: DataFrame, key: str =
     Null, empty and shorter texts get no level.  Without any rating no document gets one.
     """
     ref = Ref(text_models(documents.sparkSession, documents))
-    passages = _chunks(items, "item_id", "text")[0]  # of a larger test set, the first block
+    blocks = _chunks(items, "item_id", "text")
+    last = blocks[-1]
+    documents = passages(documents, blocks, dict(items.dtypes)["item_id"], key, text)
     ids = documents.join(F.broadcast(hashed_sample(grades(labels, key), key, FIT_LABELLED).select(key)), key, "left_semi")
-    model = None if labels.where(F.col("reading_level").isNotNull()).isEmpty() else fit(ids, labels, ref, passages, key)
+    model = None if labels.where(F.col("reading_level").isNotNull()).isEmpty() else fit(ids, labels, ref, last, key)
     if model is None:
-        return featured(documents.limit(0), ref, passages, key, text).select(key, "language", F.lit(0.0).alias("score"), F.lit(0).alias("reading_level"))
+        return featured(documents.limit(0), ref, last, key, text).select(key, "language", F.lit(0.0).alias("score"), F.lit(0).alias("reading_level"))
     state = documents.sparkSession.sparkContext.broadcast(model)
-    shared = documents.sparkSession.sparkContext.broadcast(passages)
+    shared = documents.sparkSession.sparkContext.broadcast(last)
 
     def make():
         lang, _ = ref.models()
@@ -72,10 +94,10 @@ def levels(documents: DataFrame, labels: DataFrame, items: DataFrame, key: str =
 
         def f(c):
             out = {key: [], "language": [], "score": [], "reading_level": []}
-            for k, t in zip(c[key], c[text]):
+            for k, t, spans in zip(c[key], c[text], c["spans"]):
                 if not t or len(t.split()) < MIN_WORDS:
                     continue
-                x = reading.features(t, [(a, b + 1) for _, _, _, a, b in index.search(t)])
+                x = reading.features(t, skipped(index, t, spans))
                 if x is None:
                     continue
                 name = lang.document(t)
@@ -87,7 +109,7 @@ def levels(documents: DataFrame, labels: DataFrame, items: DataFrame, key: str =
         return f
 
     kind = dict(documents.dtypes)[key]
-    return map_rows(documents.select(key, text), make, f"{key} {kind}, language string, score double, reading_level int")
+    return map_rows(documents.select(key, text, "spans"), make, f"{key} {kind}, language string, score double, reading_level int")
 
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
