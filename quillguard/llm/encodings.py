@@ -237,7 +237,6 @@ def train_dictionaries(samples: dict[str, list[str]], size: int = 32768) -> dict
     return out
 
 
-KEEP = 4  # candidates that are compressed, those that leave the fewest unlikely places
 ROUNDS = 3  # wrong decodings that may lie on top of each other
 AMBIGUOUS = re.compile("[аисуоІАﬂﬁ]")
 _FROM_LOOKALIKE = [c for c in CHAINS if c in (("cp1252", "cp1251"), ("cp1252", "mac_roman"))]
@@ -293,10 +292,9 @@ class Repairer:
                     break
             if not options:
                 break
-            options.sort(key=lambda x: x[:3])
             if cost is None:
                 cost = self.cost(text, odd(text)) if sound == text else min(self.cost(text, odd(text)), self.cost(sound, len(hits)) + STEP_COST)
-            best = min((self.cost(plain, left) + STEP_COST * n, k, n, names, got) for left, k, n, names, got, plain in options[:KEEP])
+            best = min((self.cost(plain, left) + STEP_COST * n, k, n, names, got) for left, k, n, names, got, plain in options)
             if best[0] + MARGIN > cost:
                 break
             cost, _, _, names, text = best
