@@ -63,7 +63,7 @@ _ORDINARY = "\t-~\u060c\u061b\u061f\u0621-\u0652\u0660-\u066c\u0670àâäçéè
 # so are a turned question mark before a space and single Greek or Cyrillic letters in Latin text.
 _ODD = (
     f"[^{_ORDINARY}\u0370-\u03ff\u0400-\u04ff]|[a-zß-ÿ][À-ÖØ-Þ]|[À-ÿ]{{3}}|(?<![A-Za-zÀ-ÿ])[À-ÿ]{{2}}(?![A-Za-z])"
-    "|(?<![À-ÿ])[ÀÂÄÇÊÎÔÖÜÑÁÍÓÚ](?![A-Za-zÀ-ÿ\\s])|Ã(?![A-Z])|(?<![A-Z])[ËÏÕ]|[A-Za-zÀ-ÿ][\u0370-\u04ff\u0621-\u064a]|[\u0370-\u04ff\u0621-\u064a][A-Za-zÀ-ÿ]|[\u0370-\u04ff][\u0621-\u064a]|[\u0621-\u064a][\u0370-\u04ff]|[0-9][\u0400-\u04ff]"
+    "|(?<![À-ÿ])[ÀÂÄÇÊÎÔÖÜÑÁÍÓÚ](?![A-Za-zÀ-ÿ\\s])|Ã(?![A-Z])|(?<![A-Z])[ËÏÕ]|[A-Za-zÀ-ÿ][\u0370-\u04ff\u0621-\u0652]|[\u0370-\u04ff\u0621-\u0652][A-Za-zÀ-ÿ]|[\u0370-\u04ff][\u0621-\u064a]|[\u0621-\u064a][\u0370-\u04ff]|[0-9][\u0400-\u04ff]"
     "|(?<=[0-9] m)I(?![A-Za-z0-9])|(?<![\u0370-\u04ff])[\u0370-\u04ff](?![\u0370-\u04ff])|[„…°²³º«»€œŒ–—‘’“”][a-zà-ÿ]?(?<=[a-z][„…°²³«»€–—“”][a-z])"
 )
 ODD = re.compile(_ODD)
@@ -72,9 +72,8 @@ ODD = re.compile(_ODD)
 SAFE_CLASS = "\t-~\u060c\u061b\u061f\u0621-\u0652\u0660-\u066càâäçéèêëîïôöùûüœæñáíóúßÀÉ°²’“”–•"
 UNSAFE = re.compile(f"[^{SAFE_CLASS}]")
 SAFE = frozenset(c for c in map(chr, range(0x2100)) if not UNSAFE.match(c))
-_INNER = re.compile("[a-z][ÀÉ]")
-_ARABIC = re.compile("[\u0621-\u064a]")
-GLUED = re.compile("[A-Za-zÀ-ÿ][\u0621-\u064a]|[\u0621-\u064a][A-Za-zÀ-ÿ²°]|[a-z][ÀÉ]")
+_JOINS = re.compile("[ÀÉ°²“”–\u0621-\u0652]")  # one of these is in all that GLUED finds
+GLUED = re.compile("[A-Za-zÀ-ÿ][\u0621-\u0652]|[\u0621-\u0652][A-Za-zÀ-ÿ²°]|[a-z][ÀÉ]|[a-z][°²“”–][a-z]")
 
 
 def unsafe(text: str) -> bool:
@@ -83,7 +82,7 @@ def unsafe(text: str) -> bool:
         return False
     if not SAFE.issuperset(text):
         return True
-    return bool(GLUED.search(text)) if _ARABIC.search(text) else ("À" in text or "É" in text) and bool(_INNER.search(text))
+    return bool(_JOINS.search(text) and GLUED.search(text))
 
 
 def odd(text: str) -> int:
