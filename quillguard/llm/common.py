@@ -19,7 +19,11 @@ FIT_CHARS = 6000  # characters of each of them
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it lies there.  One that is scanned in few tasks against the cores (a small file) is spread
+    over them; the number of tasks is asked of the plain scan, which runs nothing."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -93,13 +97,7 @@ class Ref:
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """Columns of each Arrow batch through a function on plain lists; ``make`` runs once for each task.
-
-    An input of few partitions (one small file) is spread over the cores first; a large one is not moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if 2 * df.rdd.getNumPartitions() <= cores:
-        df = df.repartition(cores)
+    """Columns of each Arrow batch through a function on plain lists; ``make`` runs once for each task."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 

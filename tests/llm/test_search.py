@@ -81,15 +81,91 @@ def test_resolution_and_pairs(spark):
     assert P4.resolve(df.limit(0), "name_id", "name").count() == 0
 
 
-def test_frequent_slips_of_a_large_name_are_linked(spark):
-    """Two-edit (person) and three-edit (organisation) slips seen often; two names of like frequency stay apart."""
+def entities(spark, names):
     from quillguard.llm import p4_names as P4
 
-    spelt = [("Karima Brudwimpal", 60, 0), ("Karima Bruxwimqal", 6, 0), ("Groupe Braclizdeg Chichoucgrip", 40, 1), ("Groupe Braxlizdeg Chichxucgrid", 5, 1), ("Tariq Mofrandil", 9, 2), ("Tariq Mofrentil", 7, 3)]
+    df = spark.createDataFrame(list(enumerate(names)), "name_id long, name string")
+    return {r["name_id"]: r["entity"] for r in P4.resolve(df, "name_id", "name").collect()}
+
+
+def groups(got):
+    by = {}
+    for k, e in got.items():
+        by.setdefault(e, set()).add(k)
+    return {frozenset(x) for x in by.values()}
+
+
+def slips(rng, word, n):
+    out = word
+    for _ in range(n):
+        k = rng.randrange(len(out) - 1)
+        out = rng.choice([out[:k] + rng.choice("bdfgkz") + out[k + 1 :], out[:k] + out[k + 1 :], out[:k] + out[k + 1] + out[k] + out[k + 2 :], out[:k] + "q" + out[k:]])
+    return out
+
+
+@pytest.mark.parametrize("kind,parts", [("P", 1), ("P", 7), ("O", 1), ("O", 5), ("U", 1), ("U", 5)])
+def test_radius_join_is_exact(kind, parts):
+    """All pairs within the radius, as a comparison of every pair finds them, whatever the records and parts of the cell."""
+    from quillguard.llm import p4_names as P4
+
+    rng = random.Random(f"{kind}{parts}")
+    base = ["zoltanekov", "brudwimpal", "mofrandil", "tarek", "ovi"]
+    words = base + [slips(rng, rng.choice(base[:4]), rng.randint(1, 3)) for _ in range(70)]
+    cores = sorted({w if kind == "P" else " ".join(sorted((w, slips(rng, rng.choice(base[:3]), rng.randint(0, 2))))) for w in words})
+    k = "O" if kind == "O" else "P"
+    rows = [(i, c, P4.CORE, 0, rng.choice([1, 4, 100])) for i, c in enumerate(cores)]
+    rows.sort(key=lambda r: (-r[4], r[1], r[0]))
+    want = {(i, j, d) for j in range(len(rows)) for i in range(j) if (d := N.within(k, rows[i][1], rows[j][1])) is not None}
+    got = {x for part in range(parts) for x in P4.near(k, rows, parts, part)}
+    assert got == want and len(want) > 10
+
+
+def test_records_do_not_decide(spark):
+    """Slips with 1, 4 and 100 records are one name; the same records copied a hundred times give the same entities."""
+    spelt = [("Karima Brudwimpal", 100, 0), ("Karima Bruxwimqal", 4, 0), ("Karima Brudwimpla", 1, 0), ("Groupe Braclizdeg Chichoucgrip", 100, 1), ("Groupe Braxlizdeg Chichxucgrid", 4, 1), ("Tariq Mofrandil", 4, 2), ("K. Brudwimpal", 1, 0), ("Tariq Zelbonkurt", 4, 3)]
     rows = [(n, e) for n, k, e in spelt for _ in range(k)]
-    df = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(rows)], "name_id long, name string")
-    got = {r["name_id"]: r["entity"] for r in P4.resolve(df, "name_id", "name").collect()}
-    assert all((got[a] == got[b]) == (x[1] == y[1]) for a, x in enumerate(rows) for b, y in enumerate(rows))
+    got = entities(spark, [n for n, _ in rows])
+    assert groups(got) == groups({i: e for i, (_, e) in enumerate(rows)})
+    many = entities(spark, [n for n, _ in rows for _ in range(100)])
+    assert groups({k // 100: e for k, e in many.items()}) == groups(got)
+
+
+def test_names_of_no_list(spark):
+    """Reordered, mistyped and shortened names that no list holds."""
+    names = [
+        ("Stephen Hawking", 0), ("Hawking Stephen", 0), ("HAWKING, Stephen", 0), ("Stephen Hawkign", 0), ("S. Hawking", 0), ("Hawking, Steph", 0), ("Wei Zhang", 1), ("Zhang, Wei", 1),
+        ("Astrid Lindqvist", 2), ("lindqvist astrid", 2), ("Giovanni Moretti", 3), ("Moretti G.", 3), ("Katsumi Tanabe", 4), ("Tanabe Katsumi", 4), ("Oluwaseun Adebayo", 5), ("ADEBAYO Oluwaseun", 5),
+        ("Zofia Wisniewska", 6), ("Wiśniewska, Zofia", 6), ("Astrid Moretti", 7),
+    ]
+    assert groups(entities(spark, [n for n, _ in names])) == groups({i: e for i, (_, e) in enumerate(names)})
+
+
+def test_split_cells_give_the_same(spark, monkeypatch):
+    from quillguard.llm import p4_names as P4
+
+    rng = random.Random(5)
+    names = [f"{g} {slips(rng, f, rng.randint(0, 2))}" for g in ("Karima", "K.", "Stephen") for f in ("Brudwimpal", "Zoltanekov") for _ in range(8)]
+    whole = groups(entities(spark, names))
+    monkeypatch.setattr(P4, "KEYS", 100)
+    assert groups(entities(spark, names)) == whole
+
+
+def test_given_names_are_learned(spark, data, monkeypatch):
+    """Held-out recall with half of the given names and their short forms taken off the list."""
+    from quillguard.llm import p4_names as P4
+
+    rows = {r["name_id"]: r["candidate_name"] for r in spark.read.parquet(f"{data.replace('0.001', '0.1')}/candidate_names.parquet").dropna(subset=["candidate_name"]).collect()}
+    df = spark.createDataFrame(list(rows.items()), "name_id long, name string")
+    run = lambda: groups({r["name_id"]: r["entity"] for r in P4.resolve(df, "name_id", "name").collect()})
+    pairs = lambda gs: {(a, b) for g in gs for a in g for b in g if a < b}
+    whole = run()
+    unknown = set(sorted(N._VARIANTS)[::2])
+    held = {k for k, n in rows.items() if (p := N.parse(n)) and p[0][1] in unknown}
+    monkeypatch.setattr(N, "known", lambda p=N.Pivots({k: v for k, v in N.PIVOTS.items() if v not in unknown}): p)
+    local = {k: N.parse(n) for k, n in rows.items() if k in held}
+    monkeypatch.setattr(P4, "points", lambda d, k, n: spark.createDataFrame([(i, *p[0][:2], [x[1] for x in p[1:]], p[0][2]) for i, t in rows.items() if (p := N.parse(t))], "name_id long, kind string, cell string, alts array<string>, core string"))
+    want, got = ({p for p in pairs(g) if p[0] in held} for g in (whole, run()))
+    assert len(local) > 1000 and len(want & got) / len(want) > 0.9 and len(want & got) / len(got) > 0.99
 
 
 def test_blocks_list_each_pair_once(spark, monkeypatch):
