@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -13,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encodings, language
+from .pii import fold
 
 FIT_DOCUMENTS = 1500  # documents, by hash of their id, on which the text models are fitted
+COMMON = 3  # texts of the sample that make a capitalized word an ordinary one
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿŒœ]{2,}")
 FIT_CHARS = 6000  # characters of each of them
 
 
@@ -28,12 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def materialize(df: DataFrame) -> DataFrame:
     """The rows written once to the shared checkpoint folder, so that later uses neither recompute them
-    nor lose them with an executor.  A local folder is set only where the session names none (tests)."""
+    nor lose them with an executor.  A folder of our own is set only in a local session that names none; on a
+    cluster a local folder would be another one on every machine."""
     sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillguard-"))
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillguard-"))
     return df.checkpoint(eager=True)
 
 
@@ -53,7 +59,7 @@ def fit_sample(documents: DataFrame, n: int = FIT_DOCUMENTS) -> list[tuple[str,
 
 
 class TextModels:
-    """Language model and per-language zstandard dictionaries from one labelled sample."""
+    """Language model, per-language zstandard dictionaries and ordinary words from one labelled sample."""
 
     def __init__(self, sample: list[tuple[str, str]]):
         by: dict[str, list[str]] = {}
@@ -61,17 +67,59 @@ class TextModels:
             by.setdefault(lang, []).append(text)
         self.language = language.train(sample)
         self.dictionaries = encodings.train_dictionaries({k: v for k, v in by.items() if k in language.LANGS})
+        self.vocabulary = ordinary_words([t for _, t in sample])
+
+
+def ordinary_words(texts: list[str]) -> frozenset[str]:
+    """Folded words that the texts have in small letters, or in several texts at all (German nouns)."""
+    seen: dict[str, int] = {}
+    for t in texts:
+        for w in set(_WORD.findall(t)):
+            k = fold(w)
+            seen[k] = seen.get(k, 0) + (COMMON if w[0].islower() else 1)
+    return frozenset(w for w, n in seen.items() if n >= COMMON)
+
+
+# One fit for each application and table: the models of the queries over one corpus are the same.
+_FITTED: dict[tuple[str, str], Broadcast] = {}
 
 
 def text_models(spark: SparkSession, documents: DataFrame) -> Broadcast:
-    """Fitted on the driver on a bounded sample; a few hundred kB whatever the size of the corpus."""
-    m = TextModels(fit_sample(documents))
-    return spark.sparkContext.broadcast((m.language.words, m.language.grams, m.dictionaries))
+    """Fitted on the driver on a bounded sample; a few hundred kB whatever the size of the corpus.
+
+    Fitted once for each application and set of unchanged input files, and then kept.
+    """
+    key = (spark.sparkContext.applicationId, fingerprint(documents))
+    if not key[1] or key not in _FITTED:
+        m = TextModels(fit_sample(documents))
+        b = spark.sparkContext.broadcast((m.language.words, m.language.grams, m.dictionaries, m.vocabulary))
+        if not key[1]:
+            return b
+        if len(_FITTED) > 8:
+            _FITTED.clear()
+        _FITTED[key] = b
+    return _FITTED[key]
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Files of a plain table scan with their times of change; empty for anything else.
+
+    Of more than 64 files the names alone count: they are Spark's own, which never come twice.
+    """
+    lines = [x.lstrip(" :+-") for x in df._jdf.queryExecution().analyzed().toString().strip().split("\n")]
+    if not all(x.startswith(("Relation", "Repartition", "Project")) for x in lines):
+        return ""
+    files = sorted(df.inputFiles())
+    if len(files) > 64:
+        return "|".join(files)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(x) for x in files]
+    return "|".join(f"{x} {p.getFileSystem(conf).getFileStatus(p).getModificationTime()}" for x, p in zip(files, paths))
 
 
 @lru_cache(4)
 def _worker(key: str, ref) -> tuple[language.Model, encodings.Repairer]:
-    words, grams, dictionaries = ref.value
+    words, grams, dictionaries, _ = ref.value
     return language.Model(words, grams), encodings.Repairer(dictionaries)
 
 
@@ -92,6 +140,9 @@ class Ref:
     def __eq__(self, other: object) -> bool:
         return True
 
+    def vocabulary(self) -> frozenset[str]:
+        return self.value[3]
+
     def models(self) -> tuple[language.Model, encodings.Repairer]:
         return _worker(self.__dict__.get("key", ""), self)
 

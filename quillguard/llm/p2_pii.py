@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from secrets import token_bytes
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,17 @@ from . import pii, pseudonyms
 from .common import Ref, map_rows, table, text_models
 from .glyphs import fold_lookalikes
 
-DEFAULT_KEY = b"change me before use"
-_SCHEMA = "{key} {kind}, redacted array<string>, pieces array<struct<field_name:string,pii_kind:string,start:int,end:int,found_text:string,placeholder:string>>"
+KEY_CONF = "spark.quillguard.pseudonymKey"  # secret of the pseudonyms; without it each application draws its own
+_DRAWN: dict[str, bytes] = {}
+_PIECES = "array<struct<field_name:string,pii_kind:string,start:int,end:int,found_text:string,placeholder:string>>"
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The session's secret: as configured, else one drawn for this application, so that its queries stay linked."""
+    named = spark.conf.get(KEY_CONF, None)
+    if named:
+        return hashlib.blake2b(named.encode(), digest_size=32).digest()
+    return _DRAWN.setdefault(spark.sparkContext.applicationId, token_bytes(32))
 
 
 def placeholder(kind: str, sound: str, key: bytes) -> str:
@@ -32,71 +43,71 @@ def placeholder(kind: str, sound: str, key: bytes) -> str:
     return f"[{kind} {pseudonyms.tag(plain, key, kind)}]"
 
 
-def redact(df: DataFrame, key: str, fields: list[str], ref: Ref, secret: bytes = DEFAULT_KEY) -> DataFrame:
+def pieces_of(text: str | None, field: str, repairer, vocabulary, secret: bytes, dates: bool = False) -> list[dict]:
+    """Pieces of personal data of a stored text in their order, without overlaps, each with its placeholder."""
+    if not text:
+        return []
+    sound, start, end, _, _ = repairer.map(text)
+    found = [(a, b, k, None) for a, b, k in pii.find(sound, vocabulary)]
+    if dates:
+        found += [(a, b, "DATE", (d, form)) for a, b, d, form in pii.dates(sound) if not any(a < y and x < b for x, y, _, _ in found)]
+        found.sort(key=lambda x: x[:2])
+    out, at = [], 0
+    for x, y, kind, value in found:
+        a, b = pii.stored(text, (x, y, kind), start, end)
+        if a < at or a >= b:
+            continue
+        if value is None:
+            new = placeholder(kind, sound[x:y], secret)
+        else:
+            other = pseudonyms.day(value[0], secret)
+            new = f"[DATE {value[1].format(other.year, other.month, other.day)}]"
+        out.append({"field_name": field, "pii_kind": kind, "start": a, "end": b, "found_text": text[a:b], "placeholder": new})
+        at = b
+    return out
+
+
+def redact(df: DataFrame, key: str, fields: list[str], ref: Ref, secret: bytes | None = None, dates: bool = False, texts: bool = True) -> DataFrame:
     """Texts with personal data replaced by typed placeholders, and the list of what was replaced.
 
-    Out: key, redacted (one text per field, null for null), pieces.  Everything outside the pieces stays
-    exactly as stored.  Null, empty and blank texts have no pieces; repeated rows give repeated rows.
+    Out: key, redacted (one text per field, null for null; none at all without ``texts``), pieces.  Everything
+    outside the pieces stays exactly as stored; dates are replaced only on request.  Null, empty and blank texts
+    have no pieces; repeated rows give repeated rows.
     """
+    secret = secret or session_key(df.sparkSession)
 
     def make():
         _, repairer = ref.models()
-
-        def one(text, field, pieces):
-            if not text:
-                return text
-            sound, start, end, _, _ = repairer.map(text)
-            out, at = [], 0
-            for piece in pii.find(sound):
-                a, b = pii.stored(text, piece, start, end)
-                if a < at or a >= b:
-                    continue
-                new = placeholder(piece[2], sound[piece[0] : piece[1]], secret)
-                pieces.append({"field_name": field, "pii_kind": piece[2], "start": a, "end": b, "found_text": text[a:b], "placeholder": new})
-                out += [text[at:a], new]
-                at = b
-            return "".join(out) + text[at:] if out else text
+        vocabulary = ref.vocabulary()
 
         def f(c):
             out = {key: c[key], "redacted": [], "pieces": []}
-            for texts in zip(*(c[x] for x in fields)):
-                pieces = []
-                out["redacted"].append([one(t, x, pieces) for t, x in zip(texts, fields)])
-                out["pieces"].append(pieces)
+            for row in zip(*(c[x] for x in fields)):
+                every, done = [], []
+                for t, field in zip(row, fields):
+                    found = pieces_of(t, field, repairer, vocabulary, secret, dates)
+                    every += found
+                    if texts:
+                        done.append(replaced(t, found))
+                out["redacted"].append(done)
+                out["pieces"].append(every)
             return out
 
         return f
 
     kind = dict(df.dtypes)[key]
-    return map_rows(df.select(key, *fields), make, _SCHEMA.format(key=key, kind=kind))
-
+    return map_rows(df.select(key, *fields), make, f"{key} {kind}, redacted array<string>, pieces {_PIECES}")
 
-def find(df: DataFrame, key: str, fields: list[str], ref: Ref) -> DataFrame:
-    """Pieces of personal data alone, one row each: key, field_name, pii_kind, found_text."""
-
-    def make():
-        _, repairer = ref.models()
 
-        def f(c):
-            out = {x: [] for x in (key, "field_name", "pii_kind", "found_text")}
-            for k, *texts in zip(c[key], *(c[x] for x in fields)):
-                for text, field in zip(texts, fields):
-                    if not text:
-                        continue
-                    sound, start, end, _, _ = repairer.map(text)
-                    for piece in pii.find(sound):
-                        a, b = pii.stored(text, piece, start, end)
-                        if a < b:
-                            out[key].append(k)
-                            out["field_name"].append(field)
-                            out["pii_kind"].append(piece[2])
-                            out["found_text"].append(text[a:b])
-            return out
-
-        return f
-
-    kind = dict(df.dtypes)[key]
-    return map_rows(df.select(key, *fields), make, f"{key} {kind}, field_name string, pii_kind string, found_text string")
+def replaced(text: str | None, pieces: list[dict]) -> str | None:
+    """The text with each piece's placeholder in its place."""
+    if not pieces:
+        return text
+    out, at = [], 0
+    for p in pieces:
+        out += [text[at : p["start"]], p["placeholder"]]
+        at = p["end"]
+    return "".join(out) + text[at:]
 
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +119,7 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each piece of personal data in a field of a page."""
+    """One row for each piece of personal data that is replaced in a field of a page."""
     ref = Ref(text_models(spark, table(spark, sf_dir, "documents")))
-    return find(table(spark, sf_dir, "dossier_pages"), "page_id", ["raw_text", "header_text"], ref).distinct()
+    out = redact(table(spark, sf_dir, "dossier_pages"), "page_id", ["raw_text", "header_text"], ref, texts=False)
+    return out.select("page_id", F.explode("pieces").alias("p")).select("page_id", "p.field_name", "p.pii_kind", "p.found_text").distinct()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from datetime import date
 from functools import lru_cache
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
@@ -143,6 +144,7 @@ _PHONE = re.compile(
     rf"|(?:\+|00)\d(?:{_S}\d){{8,13}}"
     rf"|\(\d{{3}}\) ?\d{{3}}[- ]\d{{4}}"
     rf"|0\d{{4}} \d{{3}} \d{{3}}"
+    rf"|0\d\d[ -]\d{{4}}[ -]\d{{4}}"
     rf"|0[1-9](?:{_S}\d\d){{4}}"
     rf"|[5-7]\d{{8}}"
     rf")(?![\d/]|[-.]\d|\w)"
@@ -153,14 +155,14 @@ _NOT_PHONE = re.compile(r"(?i)(?:order no\.?|no\.|n°|nr\.?|lot|sku|ref\.?|build
 # Labels of a person's identity papers in five languages.
 _ID_LABELS = (
     r"CIN|CNIE|C\.I\.N\.?|Carte nationale(?: d'identité)?|Pièce d'identité|N° de sécurité sociale|Numéro de sécurité sociale|Passeport|Titre de séjour"
-    r"|ID card|National ID|Identity document|Identity card|Social security (?:number|no\.?)|SSN|Passport(?: No\.?| number)?|DNI|NIE|Documento de identidad|Pasaporte"
+    r"|ID card|National ID|Identity document|Identity card|Social security (?:number|no\.?)|SSN|[Pp]assport(?: No\.?| number)?|DNI|NIE|Documento de identidad|Pasaporte"
     r"|Número de la seguridad social|Seguridad social|N\.º de la Seguridad Social|Personalausweis(?:nummer)?|Ausweisnummer|Ausweis|Reisepass(?:nummer)?|Sozialversicherungsnummer"
     r"|رقم البطاقة الوطنية|رقم جواز السفر|بطاقة التعريف(?: الوطنية)?|جواز السفر|رقم الضمان الاجتماعي|رقم بطاقة التعريف"
 )
 _ID_VALUE = (
     r"(?:[A-Z]{1,3}[ \n]?\d{5,8}[A-Z]?|\d{3}-\n?\d{2}-\n?\d{4}|[12][ \n]?\d\d[ \n]?\d\d[ \n]?\d[\dAB][ \n]?\d{3}[ \n]?\d{3}(?:[ \n]?\d\d)?|\d{15}|\d{13}|\d{8}[ -]?[A-Z]|\d{7,12}[A-Z]?)"
 )
-_ID = re.compile(rf"(?:{_ID_LABELS})[ \t]*(?:n°|Nº|N°|No\.?|Nr\.?|number|número|Nummer|رقم)?[ \t]*[:#-]?[ \t]*\n?[ \t]*({_ID_VALUE})(?![\w])")
+_ID = re.compile(rf"(?:{_ID_LABELS})[ \t]*(?:is|est|es|ist|lautet|n°|Nº|N°|No\.?|Nr\.?|number|número|Nummer|رقم)?[ \t]*[:#-]?[ \t]*\n?[ \t]*({_ID_VALUE})(?![\w])")
 _ID_HINT = re.compile(rf"{_ID_LABELS}")
 
 # The shapes of a home address.
@@ -169,14 +171,14 @@ _PLACE = rf"(?:(?:Puerto|San|Santa|Villa|Bad|Sankt|Saint|Sainte|La|Le|Les|El|Los
 _NL = r"[ \n]"
 _FR_WAY = r"(?:rue|lot\.|avenue|av\.|boulevard|bd|bd\.|impasse|chemin|allée|place|quai|cours|route|square|passage|résidence|lotissement|ruelle|sentier)"
 _EN_WAY = r"(?:Street|Road|Lane|Avenue|Close|Drive|Court|Way|Place|Square|Terrace|Crescent|Gardens|Hill|Row|Walk|St\.?|Rd\.?|Ave\.?)"
-_ES_WAY = r"(?:Calle|Avenida|Avda\.|Plaza|Paseo|C/|Camino|Travesía|Ronda|Carrera|Pasaje)"
+_ES_WAY = r"(?:Calle|Avenida|Avda\.|Plaza|Paseo|C/|Camino|Travesía|Ronda|Carrera|Pasaje|Via|Viale|Piazza|Corso)"
 _DE_WAY = r"[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm|steig|pfad|hof)"
 _AR_WAY = r"(?:زنقة|شارع|حي|درب|ساحة|إقامة|طريق|نهج|زقاق|ممر)"
 _W = rf"[{_L}'’-]+"
 _FR = rf"\d{{1,4}}(?:{_NL}(?:bis|ter|quater))?,?{_NL}{_FR_WAY}(?:{_NL}{_W}){{1,6}}?(?:,{_NL}(?:villa|(?:appt|[éÉ\ufffd]tage|b[âa]t\.?|apt|porte|esc\.?){_NL}?[\dA-Z]+)){{0,3}},?{_NL}\d\d{_NL}?\d{{3}}{_NL}{_PLACE}"
 _EN = (
-    rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite){_NL}\d+[A-Z]?,{_NL})?\d{{1,4}}[A-Z]?,?{_NL}(?:[A-Z][\w'-]+{_NL}){{1,3}}{_EN_WAY}(?:,{_NL}(?:Unit|Flat|Apt\.?|Suite|Floor){_NL}\d+[A-Z]?)?"
-    rf",{_NL}(?:(?:North|South|East|West|New|Old|Great|Little|Upper|Lower|Saint|St\.?|Port|Mount|Fort|Lake){_NL})?[A-Z][a-z]+(?: \d{{5}}(?!\d))?"
+    rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite){_NL}\d+[A-Z]?,{_NL})?\d{{1,4}}[A-Z]?,?{_NL}(?:[A-Z][\w'-]+{_NL}){{1,3}}{_EN_WAY}(?:{_NL}[NSEW]{{1,2}}(?!\w))?(?:,{_NL}(?:Unit|Flat|Apt\.?|Suite|Floor){_NL}\d+[A-Z]?)?"
+    rf",{_NL}(?:(?:North|South|East|West|New|Old|Great|Little|Upper|Lower|Saint|St\.?|Port|Mount|Fort|Lake){_NL})?[A-Z][a-z]+(?:(?:,{_NL}[A-Z]{{2}})? \d{{5}}(?!\d))?"
 )
 _ES = rf"{_ES_WAY}(?:{_NL}{_W}){{1,6}}?,?{_NL}\d{{1,4}}(?:,{_NL}(?:piso|planta|puerta|bajo|esc\.){_NL}?[\dº]*(?:{_NL}[A-Z](?![\w]))?)?,{_NL}(?:\d\d{_NL}?\d{{3}}{_NL})?{_PLACE}"
 _DE = rf"(?:{_DE_WAY}|(?:Am|An der|An den|Im|In der|In den|Zum|Zur|Auf dem|Auf der|Unter den|Hinter dem|Vor dem)(?:{_NL}[A-ZÄÖÜ][\wäöüß-]+){{1,3}}){_NL}\d{{1,4}}[a-z]?(?:,{_NL}(?:Wohnung|Whg\.|Stock|Etage|Hinterhaus|\d+\.{_NL}(?:Stock|OG|Etage)){_NL}?[\dA-Z]*)?,{_NL}\d{{5}}{_NL}{_PLACE}"
@@ -190,17 +192,55 @@ _ARA = (
 _ADDRESSES = [
     (re.compile(rf"(?<![\w]){_FR}"), frozenset({"rue", "lot.", "avenue", "av.", "boulevard", "bd", "impasse", "chemin", "allée", "place", "quai", "cours", "route", "square", "passage", "résidence", "lotissement", "ruelle", "sentier"})),
     (re.compile(rf"(?<![\w]){_EN}"), frozenset({"Street", "Road", "Lane", "Avenue", "Close", "Drive", "Court", "Way", "Place", "Square", "Terrace", "Crescent", "Gardens", "Hill", "Row", "Walk", "St", "St.", "Rd", "Rd.", "Ave", "Ave."})),
-    (re.compile(rf"(?<![\w]){_ES}"), frozenset({"Calle", "Avenida", "Avda.", "Plaza", "Paseo", "C/", "Camino", "Travesía", "Ronda", "Carrera", "Pasaje"})),
+    (re.compile(rf"(?<![\w]){_ES}"), frozenset({"Calle", "Avenida", "Avda.", "Plaza", "Paseo", "C/", "Camino", "Travesía", "Ronda", "Carrera", "Pasaje", "Via", "Viale", "Piazza", "Corso"})),
     (re.compile(rf"(?<![\w]){_DE}"), re.compile(r"\d[a-z]?,[ \n][\dWSEH]")),
     (re.compile(rf"(?<![\w]){_ARA}"), frozenset({"زنقة", "شارع", "حي", "درب", "ساحة", "إقامة", "طريق", "نهج", "زقاق", "ممر"})),
 ]
+# Account numbers, which are no phones: two letters and two digits before groups of four; four groups of four digits.
+_ACCOUNT = re.compile(r"(?<!\w)(?:[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\w)")
+
+# Names by the features of their words: a run of capitalized words of which none is an ordinary one.
+_PARTICLE = r"(?:de|del|de la|da|di|von|van|van der|zu|bin|ben|al|el)"
+_RUN = re.compile(rf"(?<![\w@.&'’-])((?:{TITLE}[ \t]+)*)({_CAP}(?:[ \t]+(?:{_PARTICLE}[ \t]+)?{_CAP}){{1,3}})(?![\w@])")
+# Words after which a name often stands.
+_CUE = re.compile(
+    r"(?i)(?:\b(?:of|by|to|with|from|for|met|that|and|contact|person|avec|par|que|de|à|a|pour|et|chez|con|por|para|y|mit|von|an|durch|für|und|dass|herr|frau|director|manager|colleague|collègue|kollege|kollegin)|[:,]|[ء-ي])[ \t]+$"
+)
+# Words of organisations and papers, of which a name has none.
+_ORG = frozenset("societe ste company institut institute instituto universite university universidad etablissements ets groupe group grupo laboratoire laboratory laboratorio fundacion foundation fondation academy academie academia gmbh sarl ltd inc llc ag ref no nr id national street road avenue rue calle".split())
+# Points for what speaks for a name; LIKELY are enough.
+GIVEN_POINTS, CUE_POINTS, TITLE_POINTS, LINE_POINTS, UNKNOWN_POINTS, LIKELY = 2, 2, 2, 2, 1, 4
+TOP_LINES = 8  # lines at the head of a page of which one may be a name alone
+
+
+def name_points(run: str, before: str, title: str, alone: bool, vocabulary: frozenset[str]) -> int:
+    """Points of a run of capitalized words: given names, words that no text has as an ordinary word, what stands
+    before, and whether it is a line at the head of the page."""
+    if "\ufffd" in run:
+        return 0
+    words = [fold(w) for w in re.findall(rf"[{_L}\ufffd]{{2,}}", run) if w[0].isupper()]
+    if len(words) < 2 or any(w in _ORG or w in _NO_NAME for w in words):
+        return 0
+    named = [is_given(w) for w in words]
+    if run.isupper() and not any(named) and not alone and not title:  # a heading
+        return 0
+    if any(w in vocabulary and not n for w, n in zip(words, named)):
+        return 0
+    first = GIVEN_POINTS + UNKNOWN_POINTS if any(named) else 0
+    return first + UNKNOWN_POINTS * sum(not n for n in named) + (CUE_POINTS if _CUE.search(before) else 0) + (TITLE_POINTS if title else 0) + (LINE_POINTS if alone else 0)
+
+
 _DIGIT = re.compile(r"\d")
 _ARABIC_DIGITS = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 _ARABIC_DIGIT = re.compile("[٠-٩۰-۹]")
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
-    """Pieces of personal data of a sound canonical text as (start, end, kind), sorted, without overlaps."""
+def find(text: str, vocabulary: frozenset[str] | None = None) -> list[tuple[int, int, str]]:
+    """Pieces of personal data of a sound canonical text as (start, end, kind), sorted, without overlaps.
+
+    ``vocabulary``: ordinary words (folded), by which names outside all known contexts are told; without it such
+    names are not looked for.
+    """
     if not text or text.isspace():
         return []
     plain = text.translate(_ARABIC_DIGITS) if not text.isascii() and _ARABIC_DIGIT.search(text) else text
@@ -232,6 +272,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if hints.search(plain) if isinstance(hints, re.Pattern) else not hints.isdisjoint(words):
             for m in pattern.finditer(plain):
                 add(*m.span(), "ADDRESS")
+    if _ACCOUNT.search(plain):
+        taken += [m.span() for m in _ACCOUNT.finditer(plain)]
     for m in _PHONE.finditer(plain):
         if 8 <= sum(c.isdigit() for c in m[0]) <= 15 and not _NOT_PHONE.search(plain, max(0, m.start() - 24), m.start()):
             add(*m.span(), "PHONE")
@@ -258,9 +300,41 @@ def find(text: str) -> list[tuple[int, int, str]]:
                     half = (at + a, units)
         before = half
         at += n + 1
+    if vocabulary:
+        head = sum(len(x) + 1 for x in lines[:TOP_LINES])
+        for m in _RUN.finditer(plain):
+            a, b = m.span()
+            alone = b <= head and (a == 0 or plain[a - 1] == "\n") and (b == len(plain) or plain[b] == "\n")
+            if name_points(m[2], plain[max(0, a - 24) : a], m[1], alone, vocabulary) >= LIKELY:
+                add(_name_start(m), m.end(2), "NAME")
+            else:  # the run may begin with ordinary words
+                for x in list(re.finditer(r"(?<=\s)(?=\S)", m[2]))[:-1]:
+                    k = m.start(2) + x.start()
+                    if plain[k].isupper() and name_points(plain[k : m.end(2)], plain[max(0, k - 24) : k], "", False, vocabulary) >= LIKELY:
+                        add(k, m.end(2), "NAME")
+                        break
     return sorted(found)
 
 
+# Dates: day, month and year in numbers, or the other way round, with one sign between them.
+_DATE = re.compile(r"(?<![\w./-])(?:(\d{1,2})([./-])(\d{1,2})\2(\d{4})|(\d{4})([./-])(\d{1,2})\6(\d{1,2}))(?![\w/-]|\.\d)")
+
+
+def dates(text: str) -> list[tuple[int, int, date, str]]:
+    """Valid dates as (start, end, date, form); the form is what a date of the same notation is written with."""
+    out = []
+    for m in _DATE.finditer(text):
+        try:
+            if m[1]:
+                d, form = date(int(m[4]), int(m[3]), int(m[1])), f"{{2:0{len(m[1])}d}}{m[2]}{{1:0{len(m[3])}d}}{m[2]}{{0:04d}}"
+            else:
+                d, form = date(int(m[5]), int(m[7]), int(m[8])), f"{{0:04d}}{m[6]}{{1:0{len(m[7])}d}}{m[6]}{{2:0{len(m[8])}d}}"
+        except ValueError:
+            continue
+        out.append((m.start(), m.end(), d, form))
+    return out
+
+
 def stored(text: str, piece: tuple[int, int, str], start: list[int] | None, end: list[int] | None) -> tuple[int, int]:
     """Where a piece of the sound text stands in the stored text, without white space around it."""
     a, b, _ = piece
