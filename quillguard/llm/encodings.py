@@ -9,11 +9,12 @@ without a chain that is cheaper than leaving the line alone, the line stays as i
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import zstandard
 
-from .glyphs import SUSPECT, canonical, canonical_map
+from .glyphs import SUSPECT, canonical, canonical_map, stands_in
 
 # Code pages by which UTF-8 is misread, and pairs (bytes were really, bytes were read as).
 _MULTI = ("cp1252", "latin-1", "cp437", "mac_roman", "cp1256", "cp1251", "cp850", "cp1250")
@@ -72,17 +73,19 @@ ODD = re.compile(_ODD)
 SAFE_CLASS = "\t-~\u060c\u061b\u061f\u0621-\u0652\u0660-\u066càâäçéèêëîïôöùûüœæñáíóúßÀÉ°²’“”–•"
 UNSAFE = re.compile(f"[^{SAFE_CLASS}]")
 SAFE = frozenset(c for c in map(chr, range(0x2100)) if not UNSAFE.match(c))
-_JOINS = re.compile("[ÀÉ°²“”–\u0621-\u0652]")  # one of these is in all that GLUED finds
-GLUED = re.compile("[A-Za-zÀ-ÿ][\u0621-\u0652]|[\u0621-\u0652][A-Za-zÀ-ÿ²°]|[a-z][ÀÉ]|[a-z][°²“”–][a-z]")
+GLUED = re.compile(
+    "[A-Za-zÀ-ÿ][\u0621-\u0652]|[\u0621-\u0652][A-Za-zÀ-ÿ²°]|[a-zß-ÿ][ÀÉ]|[a-z][°²“”–][a-z]"
+    "|[À-ÿ]{3}|(?<![A-Za-zÀ-ÿ])[À-ÿ]{2}(?![A-Za-z])|À(?![A-Za-zÀ-ÿ\\s])"
+)
 
 
 def unsafe(text: str) -> bool:
-    """Whether the text needs a closer look at all."""
+    """Whether the text needs a closer look at all: all that ``map`` finds wrong, disguised or out of order is unsafe."""
     if text.isascii():
         return False
     if not SAFE.issuperset(text):
         return True
-    return bool(_JOINS.search(text) and GLUED.search(text))
+    return bool(GLUED.search(text)) or not unicodedata.is_normalized("NFC", text)
 
 
 def odd(text: str) -> int:
@@ -237,7 +240,7 @@ def train_dictionaries(samples: dict[str, list[str]], size: int = 32768) -> dict
 
 
 ROUNDS = 3  # wrong decodings that may lie on top of each other
-AMBIGUOUS = re.compile("[аисуоІАﬂﬁ]")
+AMBIGUOUS = re.compile("[аісуоІАﬂ]")  # look-alikes and ligatures that also arise from wrong decoding
 _FROM_LOOKALIKE = [c for c in CHAINS if c in (("cp1252", "cp1251"), ("cp1252", "mac_roman"))]
 _STAGES = [[c for c in CHAINS if c[0] == "utf-8"], [c for c in CHAINS if c[0] != "utf-8" and len(c) == 2], [c for c in CHAINS if len(c) == 3]]
 CONTROLS = re.compile(r"[\x80-\x9f]")
@@ -358,7 +361,7 @@ class Repairer:
                     wrong = changed = True
             got = canonical_map(new)
             if got[1] is not None:
-                if k not in plan:
+                if k not in plan and stands_in(x, got[0]):
                     disguised = True
                 changed = True
                 new, a, b = _compose(got, a, b)
@@ -378,6 +381,3 @@ def _compose(got: tuple[str, list[int], list[int]], a: list[int] | None, b: list
     new, s, e = got
     return (new, s, e) if a is None else (new, [a[i] for i in s], [b[i - 1] for i in e])
 
-
-CONTROLS = re.compile(r"[\x80-\x9f]")
-AMBIGUOUS = re.compile("[аісуоІАﬂ]")

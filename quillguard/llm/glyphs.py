@@ -50,14 +50,40 @@ def char_class(cps: list[int]) -> str:
     return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
 
 
+def _quick_check() -> tuple[list[int], list[int]]:
+    """Code points with the quick-check property No, and those that may go on a segment (Maybe, or a mark).
+
+    Maybe have the second letters of canonical compositions and the vowels and finals of Hangul; marks can
+    change places.  A form that prints the same and begins with one of these goes on a segment too.
+    """
+    no, goes_on = [], set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    for cp in [*range(0xA0, 0xAC00), *range(0xF900, 0x10000), *range(0x10000, 0x1F000), *range(0x2F800, 0x2FA20)]:
+        c = chr(cp)
+        if unicodedata.combining(c):
+            goes_on.add(cp)
+        d = unicodedata.decomposition(c)
+        if not d or d[0] == "<":
+            continue
+        if not unicodedata.is_normalized("NFC", c):
+            no.append(cp)
+        parts = d.split()
+        if len(parts) == 2:
+            goes_on.add(int(parts[1], 16))
+    goes_on |= {cp for cp in _UNSTABLE if ord(unicodedata.normalize("NFKC", chr(cp))[0]) in goes_on}
+    return no, sorted(x for x in goes_on if x > 0x7F)
+
+
 _UNSTABLE = _unstable()
-_CLASS = char_class(_UNSTABLE)
+_NO, _GOES_ON = _quick_check()
+_CLASS = char_class(sorted({*_UNSTABLE, *_NO}))
+_ON = char_class(_GOES_ON)
 _MARKS = "̀-͎͐-ͯٓ-ٕ"
 _INV = re.escape(INVISIBLE)
-# A text without any of these needs no work; the same class is used as a filter inside the JVM.
+# Characters that stand in for others; a text without any, and without marks out of order, needs no work.
 SUSPECT_CLASS = f"{_CLASS}{_MARKS}{INVISIBLE}{''.join(LOOKALIKES)}"
 SUSPECT = re.compile(f"[{SUSPECT_CLASS}]")
-_SEGMENT = re.compile(f"[{_INV}]+|[{_CLASS}][{_MARKS}]*|[^\\s{_MARKS}][{_MARKS}]+")
+_LOOK_AT = re.compile(f"[{SUSPECT_CLASS}{_ON}]")
+_SEGMENT = re.compile(f"[{_INV}]+|[{_CLASS}][{_ON}]*|[^{_ON}{_INV}]?[{_ON}]+")
 _INVISIBLE_RUN = set(INVISIBLE)
 _LOOK = re.compile(f"\\w*[{''.join(LOOKALIKES)}]\\w*")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
@@ -69,12 +95,26 @@ _TABLE = str.maketrans(LOOKALIKES)
 
 def canonical(text: str) -> str:
     """The canonical form alone; see ``canonical_map`` when offsets are needed."""
-    return canonical_map(text)[0] if SUSPECT.search(text) else text
+    return canonical_map(text)[0] if _LOOK_AT.search(text) else text
 
 
 def canonical_map(text: str) -> tuple[str, list[int] | None, list[int] | None]:
-    """Canonical text, and for each of its characters where its source begins and ends (None: unchanged)."""
-    if not SUSPECT.search(text):
+    """Canonical text, and for each of its characters where its source begins and ends (None: unchanged).
+
+    The result is in Unicode normal form C.  What one pass brings together (a mark behind a removed invisible
+    character, or on a folded letter) the next one joins.
+    """
+    got = _pass(text)
+    if got[1] is None:
+        return got
+    while (more := _pass(got[0]))[1] is not None:
+        new, s, e = more
+        got = new, [got[1][i] for i in s], [got[2][i - 1] for i in e]
+    return got if got[0] != text else (text, None, None)
+
+
+def _pass(text: str) -> tuple[str, list[int] | None, list[int] | None]:
+    if not _LOOK_AT.search(text):
         return text, None, None
     out: list[str] = []
     start: list[int] = []
@@ -86,7 +126,7 @@ def canonical_map(text: str) -> tuple[str, list[int] | None, list[int] | None]:
         if seg[0] in _INVISIBLE_RUN:
             new = ""
         else:
-            new = unicodedata.normalize("NFKC" if seg[0] in _SET else "NFC", seg)
+            new = unicodedata.normalize("NFC", "".join(unicodedata.normalize("NFKC", c) if c in _SET else c for c in seg))
             if new == seg:
                 continue
             if new.isspace():
@@ -133,6 +173,11 @@ def _near(text: str, a: int, b: int) -> bool:
     return any(x and _OTHER.match(x[0]) and not _LATIN.search(x) and sum(map(str.isalpha, x)) > 1 for x in (*before[-1:], *after[:1])) and not text[a:b].strip("АВ").isdigit()
 
 
+def stands_in(text: str, new: str) -> bool:
+    """Whether the canonical form has other characters; marks in another order are no disguise."""
+    return text != new and sorted(text) != sorted(new)
+
+
 def is_disguised(text: str) -> bool:
     """Whether any character of the text stands in for its ordinary spelling."""
-    return bool(SUSPECT.search(text)) and canonical_map(text)[1] is not None
+    return bool(_LOOK_AT.search(text)) and stands_in(text, canonical(text))

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Ref, map_rows, table, text_models
-from .encodings import GLUED, UNSAFE
 
 
 def needs_look(col: str):
-    """JVM-side filter: text that can hold garbled or disguised characters at all."""
-    return F.col(col).rlike(f"{UNSAFE.pattern}|{GLUED.pattern}")
+    """JVM-side filter: text with a character outside ASCII, without which nothing is garbled or disguised."""
+    return F.octet_length(col) > F.length(col)
 
 
 def repair(pages: DataFrame, ref: Ref, text: str = "raw_text", key: str = "page_id") -> DataFrame:

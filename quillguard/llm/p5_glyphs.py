@@ -28,7 +28,7 @@ def unify(df: DataFrame, key: str, text: str, ref: Ref | None = None) -> DataFra
                     sound, _, _, wrong, disguised = repairer.map(t)
                 else:
                     sound, start, _ = glyphs.canonical_map(t)
-                    disguised = start is not None
+                    disguised = start is not None and glyphs.stands_in(t, sound)
                 if disguised or wrong:
                     out[key].append(k)
                     out["canonical"].append(sound)

@@ -32,11 +32,10 @@ class Counter:
     is the sum over its pieces " word", which repeat and are remembered.
     """
 
-    def __init__(self, path: str = DEFAULT_VOCABULARY):
+    def __init__(self, vocabulary: bytes):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.counts = _Counts(self.encode)
 
@@ -51,8 +50,9 @@ class Counter:
 
 
 @lru_cache(2)
-def counter(path: str) -> Counter:
-    return Counter(path)
+def counter(vocabulary: bytes) -> Counter:
+    """The counter of a vocabulary (the bytes of its file), once in each worker."""
+    return Counter(vocabulary)
 
 
 _WORD = re.compile(r"[^\W_]+")

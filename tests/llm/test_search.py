@@ -196,7 +196,7 @@ def test_packing(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, fill int").repartition(5)
     limits = spark.createDataFrame([("s", 64), ("m", 256), ("bad", None), (None, 5)], "limit_name string, capacity_tokens int")
     out = P6.pack(docs, limits).toPandas()
-    c = Counter(DEFAULT_VOCABULARY)
+    c = Counter(open(DEFAULT_VOCABULARY, 'rb').read())
     for limit, cap in (("s", 64), ("m", 256)):
         o = out[out.limit_name == limit]
         assert o.groupby("doc_id").n_tokens.sum().to_dict() == {i: c(t) for i, t, _ in rows}
@@ -207,8 +207,21 @@ def test_packing(spark):
     assert P6.pack(docs.limit(0), limits).count() == 0
 
 
+def test_later_rounds_are_bounded():
+    """Items of 51 to 97 % of the capacity never share a container; still all but OPEN and one leave in the first round."""
+    from quillguard.llm import p6_packing as P6
+
+    rng = random.Random(3)
+    for sizes in ([rng.randint(51, 97) for _ in range(5000)], [rng.randint(1, 50) for _ in range(5000)], [0] * 5000, [100] * 50, [1]):
+        rows = P6._pack("x", 100, [(n, [(i, 0, n)]) for i, n in enumerate(sizes)])
+        assert sorted(c[0] for r in rows for c in r[3]) == list(range(len(sizes)))
+        assert sum(not r[2] for r in rows) <= P6.OPEN + 1
+        assert all(sum(c[2] for c in r[3]) == r[1] <= 100 for r in rows)
+        assert all(r[2] for r in P6._pack("x", 100, [(n, [(i, 0, n)]) for i, n in enumerate(sizes)], True))
+
+
 def test_counts_are_those_of_the_tokenizer():
-    c = Counter(DEFAULT_VOCABULARY)
+    c = Counter(open(DEFAULT_VOCABULARY, 'rb').read())
     for t in ("", "a b", "l'été, déjà vu.\nNow  two", " lead", "tail ", "مرحبا بكم", "a\tb", "x \n y", "don't we'll", "1 234,5"):
         assert c(t) == len(c.encode(t)), t
 
