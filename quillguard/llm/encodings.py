@@ -65,7 +65,7 @@ _ORDINARY = "\t-~\u060c\u061b\u061f\u0621-\u0652\u0660-\u066c\u0670àâäçéè
 _ODD = (
     f"[^{_ORDINARY}\u0370-\u03ff\u0400-\u04ff]|[a-zß-ÿ][À-ÖØ-Þ]|[À-ÿ]{{3}}|(?<![A-Za-zÀ-ÿ])[À-ÿ]{{2}}(?![A-Za-z])"
     "|(?<![À-ÿ])[ÀÂÄÇÊÎÔÖÜÑÁÍÓÚ](?![A-Za-zÀ-ÿ\\s])|Ã(?![A-Z])|(?<![A-Z])[ËÏÕ]|[A-Za-zÀ-ÿ][\u0370-\u04ff\u0621-\u0652]|[\u0370-\u04ff\u0621-\u0652][A-Za-zÀ-ÿ]|[\u0370-\u04ff][\u0621-\u064a]|[\u0621-\u064a][\u0370-\u04ff]|[0-9][\u0400-\u04ff]"
-    "|(?<=[0-9] m)I(?![A-Za-z0-9])|(?<![\u0370-\u04ff])[\u0370-\u04ff](?![\u0370-\u04ff])|[„…°²³º«»€œŒ–—‘’“”][a-zà-ÿ]?(?<=[a-z][„…°²³«»€–—“”][a-z])"
+    "|[a-z][îï](?![A-Za-zÀ-ÿ])|(?<![A-Za-zÀ-ÿ])[ïîëñíÔ](?![A-Za-zÀ-ÿ'’])|(?<=[0-9] m)I(?![A-Za-z0-9])|(?<![\u0370-\u04ff])[\u0370-\u04ff](?![\u0370-\u04ff])|[„…°²³º«»€œŒ–—‘’“”][a-zà-ÿ]?(?<=[a-z][„…°²³«»€–—“”][a-z])"
 )
 ODD = re.compile(_ODD)
 # What nearly all sound text is made of.  Text of these characters alone, and without Arabic glued to
@@ -76,6 +76,7 @@ SAFE = frozenset(c for c in map(chr, range(0x2100)) if not UNSAFE.match(c))
 GLUED = re.compile(
     "[A-Za-zÀ-ÿ][\u0621-\u0652]|[\u0621-\u0652][A-Za-zÀ-ÿ²°]|[a-zß-ÿ][ÀÉ]|[a-z][°²“”–][a-z]"
     "|[À-ÿ]{3}|(?<![A-Za-zÀ-ÿ])[À-ÿ]{2}(?![A-Za-z])|À(?![A-Za-zÀ-ÿ\\s])"
+    "|[a-z][îï](?![A-Za-zÀ-ÿ])|(?<![A-Za-zÀ-ÿ])[ïîëñíÔ](?![A-Za-zÀ-ÿ'’])"
 )
 
 
@@ -242,15 +243,9 @@ def train_dictionaries(samples: dict[str, list[str]], size: int = 32768) -> dict
 ROUNDS = 3  # wrong decodings that may lie on top of each other
 AMBIGUOUS = re.compile("[аісуоІАﬂ]")  # look-alikes and ligatures that also arise from wrong decoding
 _FROM_LOOKALIKE = [c for c in CHAINS if c in (("cp1252", "cp1251"), ("cp1252", "mac_roman"))]
-_STAGES = [[c for c in CHAINS if c[0] == "utf-8"], [c for c in CHAINS if c[0] != "utf-8" and len(c) == 2], [c for c in CHAINS if len(c) == 3]]
 CONTROLS = re.compile(r"[\x80-\x9f]")
 
 
-@lru_cache(None)
-def _readable(codec: str) -> frozenset[str]:
-    return frozenset(c for c in byte_of(codec) if ord(c) > 127)
-
-
 class Repairer:
     """Chooses, for the lines of a text, the chain with the least description length."""
 
@@ -273,25 +268,18 @@ class Repairer:
             if not hits and not vague:
                 break
             # look-alikes and ligatures also arise from wrong decoding, so their folding competes as a candidate
-            odd_chars = {c for h in hits for c in h if ord(c) > 127}
-            stages = _STAGES if hits else [_FROM_LOOKALIKE]
-            most = max(len(odd_chars & _readable(c[1])) for c in CHAINS)
             options = []
-            for stage in stages:
-                for chain in stage:
-                    if 2 * len(odd_chars & _readable(chain[1])) < most or (new := undo(text, chain)) is None:
-                        continue
-                    steps = [(chain, new)]
-                    if chain[0] == "utf-8" and (again := undo(new, chain)) is not None:
-                        steps.append((chain, chain, again))
-                    for *names, got in steps:
-                        plain = canonical(got)
-                        left = odd(plain)
-                        if (left < len(hits) or left == len(hits) and len(AMBIGUOUS.findall(got)) < vague) and len(SUSPECT.findall(got)) - len(SUSPECT.findall(plain)) <= looks:
-                            options.append((left, CHAINS.index(chain), len(names), names, got, plain))
-                # a stage that explains (nearly) all is evidence enough against the looser ones after it
-                if any(10 * x[0] <= len(hits) for x in options):
-                    break
+            for k, chain in enumerate(CHAINS):
+                if not hits and chain not in _FROM_LOOKALIKE or (new := undo(text, chain)) is None:
+                    continue
+                steps = [(chain, new)]
+                if chain[0] == "utf-8" and (again := undo(new, chain)) is not None:
+                    steps.append((chain, chain, again))
+                for *names, got in steps:
+                    plain = canonical(got)
+                    left = odd(plain)
+                    if (left < len(hits) or left == len(hits) and len(AMBIGUOUS.findall(got)) < vague) and len(SUSPECT.findall(got)) - len(SUSPECT.findall(plain)) <= looks:
+                        options.append((left, k, len(names), names, got, plain))
             if not options:
                 break
             if cost is None:
