@@ -118,13 +118,13 @@ def fingerprint(df: DataFrame) -> str:
 
 
 @lru_cache(4)
-def _worker(key: str, ref) -> tuple[language.Model, encodings.Repairer]:
+def _worker(ref) -> tuple[language.Model, encodings.Repairer]:
     words, grams, dictionaries, _ = ref.value
     return language.Model(words, grams), encodings.Repairer(dictionaries)
 
 
-class Ref:
-    """Models in a broadcast, with a name of their own under which a worker remembers them."""
+class Named:
+    """A broadcast with a name of its own, under which a worker remembers what it makes of it."""
 
     def __init__(self, b: Broadcast):
         self.b = b
@@ -135,16 +135,20 @@ class Ref:
         return self.b.value
 
     def __hash__(self) -> int:
-        return 0
+        return hash(self.key)
 
     def __eq__(self, other: object) -> bool:
-        return True
+        return isinstance(other, Named) and self.key == other.key
+
+
+class Ref(Named):
+    """The fitted text models in a broadcast."""
 
     def vocabulary(self) -> frozenset[str]:
         return self.value[3]
 
     def models(self) -> tuple[language.Model, encodings.Repairer]:
-        return _worker(self.__dict__.get("key", ""), self)
+        return _worker(self)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from xxhash import xxh3_64_intdigest
+
 from .tokens import CACHE, words
 
 K = 4  # words of a fingerprint
@@ -39,6 +41,14 @@ def winnow(ids: list[int]) -> list[tuple[int, tuple[int, ...]]]:
     return out
 
 
+def gram_hashes(ws: list[str], every: bool) -> list[int]:
+    """64-bit fingerprints of the K-word runs of a text: all, or the winnowed (least of each WINDOW)."""
+    hashes = [xxh3_64_intdigest(" ".join(ws[i : i + K])) - (1 << 63) for i in range(len(ws) - K + 1)]
+    if every or not hashes:
+        return hashes
+    return [min(hashes[i : i + WINDOW]) for i in range(max(1, len(hashes) - WINDOW + 1))]
+
+
 class _Numbers(dict):
     """Numbers of the words of a piece of text between white space; 0: no word of the test items."""
 

@@ -6,27 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import reading
-from .common import Ref, hashed_sample, map_rows, table, text_models
+from .common import Named, Ref, hashed_sample, map_rows, table, text_models
 from .leakage import Index
-from .p7_leakage import _chunks, block_leaks
+from .p7_leakage import _index, bounded, leaks
 
 FIT_LABELLED = 4000  # rated documents on which the ranker is fitted, chosen by hashed id
 MIN_WORDS = 40  # words, separated by white space, of a document that gets a level
 
 
-def passages(documents: DataFrame, blocks: list[list[tuple]], item_kind: str, key: str, text: str) -> DataFrame:
-    """key, text, spans: the words (first, last) of each document that leaked from all blocks of test items but
-    the last, which is searched where the text is read anyway; the usual single block costs no pass of its own."""
-    if len(blocks) == 1:
-        return documents.select(key, text, F.expr("cast(null as array<struct<first_word:int,last_word:int>>)").alias("spans"))
-    found = block_leaks(documents, blocks[:-1], item_kind, key, "item_id", text).groupBy(key).agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
-    return documents.select(key, text).join(found, key, "left")
-
-
-def skipped(index: Index, text: str, spans: list[dict] | None) -> list[tuple[int, int]]:
+def skipped(index: Index | None, text: str, spans: list[dict] | None) -> list[tuple[int, int]]:
     """Spans of words (first, end) of all leaked passages; those that meet are joined, so that no word counts twice."""
+    found = [(a, b + 1) for _, _, _, a, b in index.search(text)] if index else []
     out: list[tuple[int, int]] = []
-    for a, b in sorted([(a, b + 1) for _, _, _, a, b in index.search(text)] + [(x["first_word"], x["last_word"] + 1) for x in spans or ()]):
+    for a, b in sorted(found + [(x["first_word"], x["last_word"] + 1) for x in spans or ()]):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -34,30 +26,44 @@ def skipped(index: Index, text: str, spans: list[dict] | None) -> list[tuple[int
     return out
 
 
-def featured(documents: DataFrame, ref: Ref, items: list[tuple], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang, features of each document (of ``passages``) long enough; leaked test passages do not count."""
-    shared = documents.sparkSession.sparkContext.broadcast(items)
+def with_spans(documents: DataFrame, items: DataFrame, key: str, text: str) -> tuple[DataFrame, Named | None]:
+    """Documents (key, text, spans), and the broadcast of the test items with which leaked passages are found where
+    the text is read anyway; of a test set too large for that the spans of the leaked words are joined instead."""
+    ref = bounded(items, "item_id", "text")
+    if ref is not None:
+        return documents.select(key, text, F.expr("cast(null as array<struct<first_word:int,last_word:int>>)").alias("spans")), ref
+    found = leaks(documents, items, key, "item_id", text).groupBy(key).agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
+    return documents.select(key, text).join(found, key, "left"), None
+
+
+def featured(documents: DataFrame, ref: Ref, tests: Named | None, key: str = "doc_id", text: str = "text", state=None) -> DataFrame:
+    """key, language, features of each document (of ``with_spans``) long enough; leaked passages do not count.
+    With a ranker (``state``, a broadcast) its score and level instead of the features."""
+    last = "features array<double>" if state is None else "score double, reading_level int"
 
     def make():
         model, _ = ref.models()
-        index = Index(shared.value)
+        index = _index(tests) if tests is not None else None
+        ranker = None if state is None else state.value
 
         def f(c):
-            out = {key: [], "language": [], "features": []}
+            out = {n: [] for n in (key, "language", *(("features",) if ranker is None else ("score", "reading_level")))}
             for k, t, spans in zip(c[key], c[text], c["spans"]):
                 if not t or len(t.split()) < MIN_WORDS:
                     continue
                 x = reading.features(t, skipped(index, t, spans))
-                if x is not None:
-                    out[key].append(k)
-                    out["language"].append(model.document(t))
-                    out["features"].append(x)
+                if x is None:
+                    continue
+                name = model.document(t)
+                row = (k, name, x) if ranker is None else (k, name, s := ranker.score(name, x), ranker.level(s))
+                for n, v in zip(out, row):
+                    out[n].append(v)
             return out
 
         return f
 
     kind = dict(documents.dtypes)[key]
-    return map_rows(documents.select(key, text, "spans"), make, f"{key} {kind}, language string, features array<double>")
+    return map_rows(documents.select(key, text, "spans"), make, f"{key} {kind}, language string, {last}")
 
 
 def grades(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -65,10 +71,10 @@ def grades(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return labels.where(F.col("reading_level").isNotNull()).distinct().groupBy(key).agg(F.median("reading_level").alias("grade"))
 
 
-def fit(documents: DataFrame, labels: DataFrame, ref: Ref, items: list[tuple], key: str = "doc_id") -> reading.Ranker:
-    """Ranker from a bounded sample of rated documents."""
-    rated = hashed_sample(grades(labels, key), key, FIT_LABELLED)
-    rows = featured(documents, ref, items, key).join(F.broadcast(rated), key).select("language", "features", "grade").collect()  # at most 2 * FIT_LABELLED rows
+def fit(documents: DataFrame, rated: DataFrame, ref: Ref, tests: Named | None, key: str = "doc_id", text: str = "text") -> reading.Ranker:
+    """Ranker from a bounded sample of rated documents (key, grade)."""
+    sample = documents.join(F.broadcast(rated.select(key)), key, "left_semi")
+    rows = featured(sample, ref, tests, key, text).join(F.broadcast(rated), key).select("language", "features", "grade").collect()  # at most 2 * FIT_LABELLED rows
     return reading.train([(r[0], list(r[1]), r[2]) for r in sorted(rows)])
 
 
@@ -78,38 +84,12 @@ def levels(documents: DataFrame, labels: DataFrame, items: DataFrame, key: str =
     Null, empty and shorter texts get no level.  Without any rating no document gets one.
     """
     ref = Ref(text_models(documents.sparkSession, documents))
-    blocks = _chunks(items, "item_id", "text")
-    last = blocks[-1]
-    documents = passages(documents, blocks, dict(items.dtypes)["item_id"], key, text)
-    ids = documents.join(F.broadcast(hashed_sample(grades(labels, key), key, FIT_LABELLED).select(key)), key, "left_semi")
-    model = None if labels.where(F.col("reading_level").isNotNull()).isEmpty() else fit(ids, labels, ref, last, key)
-    if model is None:
-        return featured(documents.limit(0), ref, last, key, text).select(key, "language", F.lit(0.0).alias("score"), F.lit(0).alias("reading_level"))
-    state = documents.sparkSession.sparkContext.broadcast(model)
-    shared = documents.sparkSession.sparkContext.broadcast(last)
-
-    def make():
-        lang, _ = ref.models()
-        index, ranker = Index(shared.value), state.value
-
-        def f(c):
-            out = {key: [], "language": [], "score": [], "reading_level": []}
-            for k, t, spans in zip(c[key], c[text], c["spans"]):
-                if not t or len(t.split()) < MIN_WORDS:
-                    continue
-                x = reading.features(t, skipped(index, t, spans))
-                if x is None:
-                    continue
-                name = lang.document(t)
-                s = ranker.score(name, x)
-                for n, v in zip(out, (k, name, s, ranker.level(s))):
-                    out[n].append(v)
-            return out
-
-        return f
-
-    kind = dict(documents.dtypes)[key]
-    return map_rows(documents.select(key, text, "spans"), make, f"{key} {kind}, language string, score double, reading_level int")
+    documents, tests = with_spans(documents, items, key, text)
+    rated = hashed_sample(grades(labels, key), key, FIT_LABELLED)
+    if labels.where(F.col("reading_level").isNotNull()).isEmpty():
+        return featured(documents.limit(0), ref, tests, key, text).select(key, "language", F.lit(0.0).alias("score"), F.lit(0).alias("reading_level"))
+    model = fit(documents, rated, ref, tests, key, text)
+    return featured(documents, ref, tests, key, text, documents.sparkSession.sparkContext.broadcast(model))
 
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

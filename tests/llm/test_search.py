@@ -325,33 +325,36 @@ def test_levels_held_out(spark, data):
     assert P8.levels(docs, labels.limit(0), items).count() == 0
 
 
-def test_leaks_of_all_blocks_of_items_are_left_out(spark, monkeypatch):
-    """Levels do not depend on the size of a block of test items; words leaked from two items count once."""
+def test_leaks_are_left_out(spark, monkeypatch):
+    """Levels do not depend on how the test items are searched; words leaked from two items count once."""
     from quillguard.llm import p7_leakage as P7
     from quillguard.llm import p8_reading as P8
 
     other = "one tall clerk weighs eleven muddy parcels under that iron bridge before any trader signs thirty faded ledgers near this quiet mill and burns nineteen letters"
     docs = spark.createDataFrame([(1, "We sold it. " * 15 + ITEM + ". " + other + "."), (2, "We sold it. " * 15)], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM), (2, other), (3, other)], "item_id long, text string")
-    for size in (20_000, 1):
-        monkeypatch.setattr(P7, "CHUNK", size)
-        blocks = P7._chunks(items, "item_id", "text")
-        index = W.Index(blocks[-1])
-        rows = {r["doc_id"]: r for r in P8.passages(docs, blocks, "bigint", "doc_id", "text").collect()}
+    for most in (20_000, 1):
+        monkeypatch.setattr(P7, "MAX_ITEMS", most)
+        rows, tests = P8.with_spans(docs, items, "doc_id", "text")
+        index = W.Index(tests.value) if tests else None
+        rows = {r["doc_id"]: r for r in rows.collect()}
         n = len(words(ITEM))
         assert len(rows) == 2 and P8.skipped(index, rows[2]["text"], rows[2]["spans"]) == []
         assert P8.skipped(index, rows[1]["text"], rows[1]["spans"]) == [(45, 45 + n + len(words(other)))]
 
 
-def test_levels_do_not_depend_on_blocks(spark, data, monkeypatch):
+def test_large_test_sets_give_the_same(spark, data, monkeypatch):
+    """Fingerprints joined in Spark find what the index in every worker finds, and the levels stay."""
     from quillguard.llm import p7_leakage as P7
     from quillguard.llm import p8_reading as P8
 
     read = lambda n: spark.read.parquet(f"{data.replace('0.001', '0.01')}/{n}.parquet")
+    found = lambda: {tuple(r) for r in P7.leaks(read("documents"), read("eval_items")).collect()}
     run = lambda: {tuple(r) for r in P8.levels(read("documents"), read("reading_labels"), read("eval_items")).select("doc_id", "score", "reading_level").collect()}
-    whole = run()
-    monkeypatch.setattr(P7, "CHUNK", 100)
-    assert run() == whole
+    leaks, levels = found(), run()
+    monkeypatch.setattr(P7, "MAX_ITEMS", 100)
+    assert found() == leaks and len(leaks) > 20
+    assert run() == levels
 
 
 def test_features_of_odd_texts():
