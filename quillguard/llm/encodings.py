@@ -139,6 +139,7 @@ def _single_table(real: str, read: str) -> dict[int, str]:
     return {ord(c): chars[b] for c, b in table.items() if b > 127 and chars[b] != c}
 
 
+@lru_cache(8)
 def _odd_words(text: str) -> list[tuple[int, int]]:
     """Words that hold an unlikely place."""
     spans: list[tuple[int, int]] = []
@@ -269,6 +270,7 @@ class Repairer:
                 break
             # look-alikes and ligatures also arise from wrong decoding, so their folding competes as a candidate
             options = []
+            known: dict[str, tuple[str, int, bool]] = {}  # several chains may give the same text
             for k, chain in enumerate(CHAINS):
                 if not hits and chain not in _FROM_LOOKALIKE or (new := undo(text, chain)) is None:
                     continue
@@ -276,15 +278,20 @@ class Repairer:
                 if chain[0] == "utf-8" and (again := undo(new, chain)) is not None:
                     steps.append((chain, chain, again))
                 for *names, got in steps:
-                    plain = canonical(got)
-                    left = odd(plain)
-                    if (left < len(hits) or left == len(hits) and len(AMBIGUOUS.findall(got)) < vague) and len(SUSPECT.findall(got)) - len(SUSPECT.findall(plain)) <= looks:
+                    if got not in known:
+                        plain = canonical(got)
+                        left = odd(plain)
+                        better = left < len(hits) or left == len(hits) and len(AMBIGUOUS.findall(got)) < vague
+                        known[got] = plain, left, better and len(SUSPECT.findall(got)) - len(SUSPECT.findall(plain)) <= looks
+                    plain, left, better = known[got]
+                    if better:
                         options.append((left, k, len(names), names, got, plain))
             if not options:
                 break
             if cost is None:
                 cost = self.cost(text, odd(text)) if sound == text else min(self.cost(text, odd(text)), self.cost(sound, len(hits)) + STEP_COST)
-            best = min((self.cost(plain, left) + STEP_COST * n, k, n, names, got) for left, k, n, names, got, plain in options)
+            priced = {got: self.cost(plain, left) for left, _, _, _, got, plain in options}
+            best = min((priced[got] + STEP_COST * n, k, n, names, got) for _, k, n, names, got, _ in options)
             if best[0] + MARGIN > cost:
                 break
             cost, _, _, names, text = best

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 # Cyrillic and Greek letters drawn like a Latin letter, with that letter.
 LOOKALIKES = {
@@ -75,8 +76,9 @@ def _quick_check() -> tuple[list[int], list[int]]:
 
 _UNSTABLE = _unstable()
 _NO, _GOES_ON = _quick_check()
-_CLASS = char_class(sorted({*_UNSTABLE, *_NO}))
-_ON = char_class(_GOES_ON)
+# Classes of single ranges beyond 16 bits, which the pattern engine would try one by one: all of those go on a segment.
+_CLASS = char_class(sorted(x for x in {*_UNSTABLE, *_NO} if x < 0x10000))
+_ON = char_class([x for x in _GOES_ON if x < 0x10000]) + "\U00010000-\U0010ffff"
 _MARKS = "̀-͎͐-ͯٓ-ٕ"
 _INV = re.escape(INVISIBLE)
 # Characters that stand in for others; a text without any, and without marks out of order, needs no work.
@@ -95,7 +97,25 @@ _TABLE = str.maketrans(LOOKALIKES)
 
 def canonical(text: str) -> str:
     """The canonical form alone; see ``canonical_map`` when offsets are needed."""
-    return canonical_map(text)[0] if _LOOK_AT.search(text) else text
+    while _LOOK_AT.search(text):
+        new = fold_lookalikes(_SEGMENT.sub(_whole, text))
+        if new == text:
+            break
+        text = new
+    return text
+
+
+def _whole(m: re.Match) -> str:
+    return _form(m[0])
+
+
+@lru_cache(20_000)
+def _form(seg: str) -> str:
+    """Canonical form of a segment."""
+    if seg[0] in _INVISIBLE_RUN:
+        return ""
+    new = unicodedata.normalize("NFC", "".join(unicodedata.normalize("NFKC", c) if c in _SET else c for c in seg))
+    return " " if new.isspace() and new != seg else new
 
 
 def canonical_map(text: str) -> tuple[str, list[int] | None, list[int] | None]:
@@ -123,14 +143,8 @@ def _pass(text: str) -> tuple[str, list[int] | None, list[int] | None]:
     for m in _SEGMENT.finditer(text):
         a, b = m.span()
         seg = m[0]
-        if seg[0] in _INVISIBLE_RUN:
-            new = ""
-        else:
-            new = unicodedata.normalize("NFC", "".join(unicodedata.normalize("NFKC", c) if c in _SET else c for c in seg))
-            if new == seg:
-                continue
-            if new.isspace():
-                new = " "
+        if (new := _form(seg)) == seg:
+            continue
         out.append(text[at:a])
         start.extend(range(at, a))
         end.extend(range(at + 1, a + 1))
