@@ -290,7 +290,7 @@ class Repairer:
                 break
             if cost is None:
                 cost = self.cost(text, odd(text)) if sound == text else min(self.cost(text, odd(text)), self.cost(sound, len(hits)) + STEP_COST)
-            priced = {got: self.cost(plain, left) for left, _, _, _, got, plain in options}
+            priced = {got: self.cost(*known[got][:2]) for got in {x[4] for x in options}}
             best = min((priced[got] + STEP_COST * n, k, n, names, got) for _, k, n, names, got, _ in options)
             if best[0] + MARGIN > cost:
                 break
