@@ -20,6 +20,17 @@ def quad_to_rect(quad: Column) -> Column:
     return rect(F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y))
 
 
+def pixel_box(quad: Column) -> Column:
+    """Bounding box of a quad in whole pixels, as scanned pages and images are masked."""
+    r = quad_to_rect(quad)
+    return rect(*[r[c].cast("int") for c in ("x0", "y0", "x1", "y1")])
+
+
+def mask_box(r: Column) -> Column:
+    """Box that is painted over on a raster."""
+    return pad(r, 4.0)
+
+
 def pixels_to_page(r: Column, placed: Column, width, height, by: float = 2.0) -> Column:
     """A box in an image's pixels to page points, by the image's placement, padded."""
     sx, sy = (placed["x1"] - placed["x0"]) / width, (placed["y1"] - placed["y0"]) / height
@@ -47,3 +58,8 @@ def face_size_ok(r: Column, px_w, px_h, on_page: bool, score, page_points: tuple
     w, h = r["x1"] - r["x0"], r["y1"] - r["y0"]
     size = w.between(lo, hi) & (h.between(lo, hi) if on_page else F.lit(True))
     return (px_w >= 25) & (px_h >= 25) & size & (score >= 0.60)
+
+
+def photo_size_ok(r: Column) -> Column:
+    """Whether an embedded image is large enough to hold a portrait; icons are not."""
+    return (r["x1"] - r["x0"] >= 40) & (r["y1"] - r["y0"] >= 40)

@@ -15,7 +15,13 @@ PHONE = "|".join(rf"(?<!\d){p}(?!\d)" for p in (PHONE_NATIONAL, PHONE_INTERNATIO
 PHONE_DIGITS = 8
 # The same without lookaround: the neighbours are consumed, the number is group 1 (for tests of existence).
 PHONE_CONSUMING = rf"(?:^|[^0-9])({PHONE_CORE})(?:[^0-9]|$)"
-EMAIL = r"[A-Za-z0-9._%+-]+(?:\s*@\s*|\s*\[at\]\s*)[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# The e-mail rule; its ends are word boundaries, and letters of all scripts are words.
+_WORD = r"[\p{L}\p{N}_]"
+_BLANK = r"[\s\p{Z}\x{0085}]*"
+EMAIL = (
+    rf"(?:(?<!{_WORD})(?=[A-Za-z0-9_])|(?<={_WORD})(?=[.%+-]))[A-Za-z0-9._%+-]+(?:{_BLANK}@{_BLANK}|{_BLANK}\[at\]{_BLANK})"
+    rf"[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}(?!{_WORD})"
+)
 # The rule for scanned text, after separators are taken out; it is not anchored.
 OCR_PHONE = r"(?:\+|00|0)?[5-7]\d{8}"
 

@@ -147,12 +147,28 @@ def arabic_share(c) -> Column:
     return arabic / F.greatest(arabic + latin, F.lit(1))
 
 
+def _is_one_of(words: list[str]):
+    return lambda w: w.isin(words)
+
+
+def statistical_language(c) -> Column:
+    """Language whose function words the text has most of (first by code of equals); null where it has none.
+
+    Each occurrence counts; words are runs of Latin letters, so other scripts do not count.
+    """
+    words = F.split(F.lower(_c(c)), "[^a-z\\x{00DF}-\\x{00FF}]+")
+    counts = [F.struct(F.size(F.filter(words, _is_one_of(v))).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("lang")) for i, (k, v) in enumerate(sorted(lx.FUNCTION_WORDS.items()))]
+    best = F.greatest(*counts)
+    return F.when(best["n"] > 0, best["lang"])
+
+
 def detect_language(c, statistical: Column | None = None) -> Column:
     """ar, fr or en: blank is en, over a quarter Arabic letters is ar, else the statistical language folded to
     the three (Romance to fr, the rest to en), or French function words where there is none."""
     c = _c(c)
     french = F.lower(c).rlike(FRENCH)
-    rest = F.when(french, "fr").otherwise("en") if statistical is None else fold_language(statistical)
+    words = F.when(french, "fr").otherwise("en")
+    rest = words if statistical is None else F.when(statistical.isNull(), words).otherwise(fold_language(statistical))
     return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", "en").when(arabic_share(c) > 0.25, "ar").otherwise(rest)
 
 

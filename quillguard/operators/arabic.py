@@ -12,8 +12,9 @@ from . import hits
 _W = "[\\x{0600}-\\x{06FF}]+"
 # Patterns of the recognizer with their scores; a title belongs to its span, a label does not.
 TITLE = f"(?<=^|\\s)(?:{lx.ARABIC_TITLES})\\s+{_W}(?:\\s+{_W}){{1,3}}"
-LABEL = f"(?<=(?:الاسم|الكامل|المرشح|السيرة)\\s{{0,3}}[:\\-]\\s{{0,3}}){_W}(?:\\s+{_W}){{1,3}}"
-COMPOUND = f"(?<=^|\\s)(?:عبد\\s+{_W}|عبدال{_W}|{_W}\\s+الدين)(?:\\s+{_W}){{1,2}}"
+LABEL = f"(?:{lx.ARABIC_LABELS})\\s*[:\\-]\\s*({_W}(?:\\s+{_W}){{1,3}})"
+COMPOUND = f"(?<=^|\\s)(?:عبد\\s+(?:{lx.ARABIC_ABD})|(?:{lx.ARABIC_DIN})\\s+الدين)(?:\\s+{_W}){{1,2}}"
+KINDS = ("title", "label", "compound", "gazetteer")
 
 
 def gazetteer(names: list[str] = lx.ARABIC_FIRST_NAMES) -> str:
@@ -21,18 +22,28 @@ def gazetteer(names: list[str] = lx.ARABIC_FIRST_NAMES) -> str:
     return f"(?<![\\x{{0600}}-\\x{{06FF}}])(?:{'|'.join(sorted(names, key=len, reverse=True))})(?![\\x{{0600}}-\\x{{06FF}}])(?:\\s+{_W}){{0,2}}"
 
 
+def kind_spans(text: Column | str, kind: str, names: list[str] = lx.ARABIC_FIRST_NAMES) -> Column:
+    """Hits of one pattern; a lone first name scores 0.70, one with more words 0.85."""
+    if kind == "title":
+        return hits.span_array(text, TITLE, "PERSON", "arabic_title", 0.90)
+    if kind == "compound":
+        return hits.span_array(text, COMPOUND, "PERSON", "arabic_compound", 0.88)
+    if kind == "label":  # the name after the label ends where the match ends
+        name = lambda h: F.regexp_extract(h["found"], LABEL, 1)
+        found = hits.span_array(text, LABEL, "PERSON", "arabic_label", 0.95)
+        return F.transform(found, lambda h: h.withField("start", h["end"] - F.length(name(h))).withField("found", name(h)))
+    found = hits.span_array(text, gazetteer(names), "PERSON", "arabic_gazetteer", 0.85)
+    return F.transform(found, lambda h: h.withField("score", F.when(F.trim(h["found"]).rlike("\\s"), 0.85).otherwise(0.70)))
+
+
 def span_arrays(text: Column | str, names: list[str] = lx.ARABIC_FIRST_NAMES) -> Column:
-    """All pattern hits of a text as one array; a lone first name scores 0.70, one with more words 0.85."""
-    walk = F.transform(
-        hits.span_array(text, gazetteer(names), "PERSON", "arabic_gazetteer", 0.85),
-        lambda h: h.withField("score", F.when(F.trim(h["found"]).rlike("\\s"), 0.85).otherwise(0.70)),
-    )
-    return F.flatten(
-        F.array(
-            hits.span_array(text, TITLE, "PERSON", "arabic_title", 0.90), hits.span_array(text, LABEL, "PERSON", "arabic_label", 0.95),
-            hits.span_array(text, COMPOUND, "PERSON", "arabic_compound", 0.88), walk,
-        )
-    )
+    """All pattern hits of a text as one array."""
+    return F.flatten(F.array(*[kind_spans(text, k, names) for k in KINDS]))
+
+
+def kind_hits(pages: DataFrame, key: list[str], text: str, kind: str) -> DataFrame:
+    """Hits of one pattern, one row each."""
+    return pages.where(T.has_arabic(text, False)).select(*key, F.explode(kind_spans(text, kind)).alias("h")).select(*key, "h.*")
 
 
 def person_hits(pages: DataFrame, key: list[str], text: str, resolve: bool = True) -> DataFrame:
@@ -43,7 +54,7 @@ def person_hits(pages: DataFrame, key: list[str], text: str, resolve: bool = Tru
 
 
 def reversed_words(pages: DataFrame, key: list[str], text: str, names: list[str] = lx.ARABIC_FIRST_NAMES) -> DataFrame:
-    """Words that are a first name in visual order, with the words beside them unless those end in a colon.
+    """Words that are a first name in logical or visual order, with the words beside them unless those end in a colon.
 
     The compatibility form is taken once per page; places are word numbers.
     """
@@ -52,7 +63,7 @@ def reversed_words(pages: DataFrame, key: list[str], text: str, names: list[str]
     order = Window.partitionBy(*key).orderBy("word_no")
     side = lambda c: F.when(~F.coalesce(c, F.lit(":")).rlike("[:：]$"), c)
     w = w.withColumn("before", side(F.lag("word").over(order))).withColumn("after", side(F.lead("word").over(order)))
-    return w.where(F.reverse("word").isin(names)).select(*key, "word_no", F.concat_ws(" ", "before", "word", "after").alias("found"), F.lit(0.90).alias("score"))
+    return w.where(F.reverse("word").isin(names) | F.col("word").isin(names)).select(*key, "word_no", F.concat_ws(" ", "before", "word", "after").alias("found"), F.lit(0.90).alias("score"))
 
 
 def second_pass(pages: DataFrame, key: list[str], text: str) -> DataFrame:

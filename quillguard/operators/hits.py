@@ -65,6 +65,28 @@ def email_hits(df: DataFrame, key: list[str], text: str) -> DataFrame:
     return spans(df, key, text, P.EMAIL, "EMAIL_ADDRESS", "email")
 
 
+SHARE = 0.01  # of the rows, from which a dossier is spread over several tasks; so there are a hundred of them at most
+SALTS = 64
+
+
+def with_terms(rows: DataFrame, terms: DataFrame, dossier: str, spread: str, how: str = "inner", sized: DataFrame | None = None) -> DataFrame:
+    """Rows with the terms of their dossier (one array, sorted): rows of a large dossier, and rows without one, are
+    spread over SALTS keys, for each of which the dossier's terms are there.
+
+    Which dossiers are large is asked of ``sized`` (the plain table, of which this reads one column), else of the rows.
+    """
+    asked = (rows if sized is None else sized).select(dossier)
+    sizes = asked.groupBy(dossier).agg(F.count("*").alias("n"))
+    total = asked.count()
+    hot = [r[0] for r in sizes.where((F.col("n") > SHARE * total) & F.col(dossier).isNotNull()).select(dossier).limit(int(1 / SHARE)).collect()]
+    per = terms.groupBy(dossier).agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    salt = lambda on, some: F.when(F.col(dossier).isin(hot) if hot else F.lit(False), some).otherwise(on)
+    one = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    a = rows.withColumn("_salt", salt(F.when(F.col(dossier).isNull(), one).otherwise(F.lit(0)), one))
+    b = per.withColumn("_salt", F.explode(salt(F.array(F.lit(0)), F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    return a.join(b, [dossier, "_salt"], how).drop("_salt")
+
+
 def masked(text: Column | str, regex: str, placeholder: str) -> Column:
     return F.regexp_replace(F.col(text) if isinstance(text, str) else text, regex, placeholder)
 

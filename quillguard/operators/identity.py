@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as T
+from . import hits
 
 _TITLE = r"(?:M\.|Mme|Mlle|Monsieur|Madame)?"
 _UPPER = r"[A-Z\x{00C0}-\x{0178}]"
@@ -25,7 +26,7 @@ LABEL = r"(?iu)(?:^|[^A-Za-z0-9_\x{00C0}-\x{024F}])(?:Nom(?:\s+et\s+pr[eé]nom)?
 
 def label_candidate(text: Column | str, stopwords: list[str] = lx.STOPWORDS) -> Column:
     """Name after a label (first match), or null."""
-    c = T.collapse(F.regexp_extract(text, LABEL, 1))
+    c = T.collapse(F.regexp_extract(text, LABEL, 1))  # of text made ready by ``T.label_ready``
     c = T.keep_name_chars(T.first_piece(c, T.LABEL_SEPARATORS))
     w = T.tokens(c, "[\\s\\-_]+")
     ok = F.size(w).between(1, 4) & ~c.rlike("[0-9]") & ~T.overlaps(w, lx.MONTHS) & ~T.overlaps(w, stopwords)
@@ -39,7 +40,8 @@ def attestation_candidates(text: Column | str, stopwords: list[str] = lx.STOPWOR
         c = T.first_piece(T.collapse(F.regexp_extract(text, p, 1)), T.ATTESTATION_SEPARATORS)
         w = T.tokens(c)
         ok = F.size(w).between(2, 4) & ~T.overlaps(w, stopwords) & ~T.overlaps(w, lx.INSTITUTIONS)
-        parts = F.filter(w, lambda x: (F.length(x) >= 4) & (F.substring(x, 1, 1) == F.upper(F.substring(x, 1, 1))))
+        # a capital at the head, or capitals alone; Arabic words and digits have none
+        parts = F.filter(w, lambda x: (F.length(x) >= 4) & (x.rlike("^\\p{Lu}") | (x.rlike("\\p{Lu}") & ~x.rlike("\\p{Ll}"))))
         return F.when(ok, F.concat(F.array(F.array_join(w, " ")), parts)).otherwise(F.array().cast("array<string>"))
 
     return F.array_distinct(F.flatten(F.array(*map(one, ATTESTATIONS))))
@@ -82,23 +84,22 @@ def identities(names: DataFrame, dossier: str = "dossier_id", name: str = "name"
 def term_hits(pages: DataFrame, terms: DataFrame, key: list[str], text: str, dossier: str = "dossier_id") -> DataFrame:
     """Pages that hold a term of their own dossier: equality on the dossier, then containment; folded in case.
 
-    A dossier's terms are one array, so a hot dossier is joined row by row without a pair per term first.
+    A dossier's terms are one array, so a page is joined once, not with each term; large dossiers are spread.
     """
-    per = terms.groupBy(dossier).agg(F.sort_array(F.collect_set("term")).alias("terms"))
     low = F.lower(F.col(text))
-    joined = pages.where(F.trim(text) != "").join(per, dossier)
+    joined = hits.with_terms(pages.where(F.trim(text) != ""), terms, dossier, key[0], sized=pages)
     counted = F.transform("terms", lambda t: F.struct(t.alias("term"), ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("int").alias("n")))
     return joined.select(*key, dossier, F.explode(F.filter(counted, lambda x: x["n"] > 0)).alias("h")).select(*key, dossier, F.col("h.term").alias("term"), F.col("h.n").alias("n_hits"))
 
 
-def arabic_word_hits(words: DataFrame, terms: DataFrame, key: list[str], word: str = "word", dossier: str = "dossier_id", lexicon: list[str] = lx.ARABIC_FIRST_NAMES) -> DataFrame:
+def arabic_word_hits(words: DataFrame, terms: DataFrame, key: list[str], word: str = "word", dossier: str = "dossier_id", lexicon: list[str] = lx.ARABIC_FIRST_NAMES, sized: DataFrame | None = None) -> DataFrame:
     """Words of a page that equal, or as five letters or more stand inside, a normalized Arabic term."""
     plain = T.normalize_arabic(word)
-    targets = terms.where("has_arabic").select(dossier, T.fold_arabic("term").alias("target"))
+    targets = terms.where("has_arabic").select(dossier, T.fold_arabic("term").alias("term"))
     folded = [w.translate(str.maketrans("إأآٱ", "اااا")) for w in lexicon]
     w = words.withColumn("plain", plain).where((F.length("plain") >= 4) & ~F.col("plain").isin(folded))
-    on = (w[dossier] == targets[dossier]) & ((w["plain"] == targets["target"]) | ((F.length(w["plain"]) >= 5) & targets["target"].contains(w["plain"])))
-    return w.join(targets, on, "left_semi").select(*key, dossier, word)
+    near = lambda t: (F.col("plain") == t) | ((F.length("plain") >= 5) & t.contains(F.col("plain")))
+    return hits.with_terms(w, targets, dossier, word, sized=sized).where(F.exists("terms", near)).select(*key, dossier, word)
 
 
 def first_found(steps: list[DataFrame], key: str, name: str = "name") -> DataFrame:
@@ -120,6 +121,9 @@ def propagate(files: DataFrame, terms: DataFrame, own: DataFrame | None = None,
     return out
 
 
-def origins_ranked(names: DataFrame, dossier: str = "dossier_id") -> DataFrame:
-    """Names of each dossier numbered by (origin, name)."""
-    return names.withColumn("rn", F.row_number().over(Window.partitionBy(dossier).orderBy("origin", "name")))
+def target_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_no") -> DataFrame:
+    """The page of each document that names are taken from: its first written one."""
+    from .ocr import first_written_page
+
+    first = first_written_page(pages.select(doc, page, "raw_text", "n_images"), doc, page).select(F.col(doc).alias("_doc"), F.col("first_page").alias("_page"))
+    return pages.join(first, F.col(doc).eqNullSafe(F.col("_doc")) & F.col(page).eqNullSafe(F.col("_page")), "left_semi")

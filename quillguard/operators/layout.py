@@ -136,3 +136,12 @@ def layout_name(spans: DataFrame, doc: str = "doc_id", stopwords: list[str] = lx
     ok = ok & ((size.between(2, 4) & n.between(4, 40)) | ((size == 1) & n.between(4, 25) & (F.col("font") >= 18.0)))
     order = Window.partitionBy(doc).orderBy(F.desc("font"), "y0", "name")
     return c.where(ok).withColumn("rn", F.row_number().over(order)).where("rn = 1").select(doc, "name", "font", "y0")
+
+
+def header_blocks(blocks: DataFrame, key: list[str], share: float = TOP_OCR) -> DataFrame:
+    """Text of the blocks at the head of each page in reading order (top, then left), as name recognition reads it.
+
+    ``blocks``: key, x0, y0, text, height (of the page).  Blank blocks do not count.
+    """
+    top = blocks.where((F.col("y0") < F.col("height") * share) & (F.trim("text") != ""))
+    return top.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y0", "x0", "text"))), lambda b: b["text"]), "\n").alias("text"))

@@ -73,11 +73,11 @@ def header_name(lines: Column, stopwords: list[str] = lx.STOPWORDS) -> Column:
     return F.get(F.filter(F.transform(F.slice(lines, 1, 6), clean), ok), 0)
 
 
-def fallback_terms(lines: Column, given: list[str] = lx.GIVEN_NAMES, stopwords: list[str] = lx.STOPWORDS) -> Column:
+def fallback_terms(lines: Column, stopwords: list[str] = lx.STOPWORDS) -> Column:
     """Terms when nothing else names the candidate: the first of the first five lines of two to four words that
-    are no stopwords, and its words of four letters that are no given names."""
+    are no stopwords, and its words of four letters."""
     line = F.get(F.filter(F.slice(lines, 1, 5), lambda x: F.size(T.tokens(x)).between(2, 4) & ~T.overlaps(T.tokens(x), stopwords)), 0)
-    parts = F.filter(T.tokens(line), lambda w: (F.length(w) >= 4) & ~F.lower(w).isin(given))
+    parts = F.filter(T.tokens(line), lambda w: (F.length(w) >= 4) & ~F.lower(w).isin(stopwords))
     return F.when(line.isNotNull(), F.array_distinct(F.concat(F.array(line), parts))).otherwise(F.array().cast("array<string>"))
 
 

@@ -35,6 +35,12 @@ def dispatch(files: DataFrame, path: str = "rel_path") -> DataFrame:
     return files.withColumn("action", action(path)).withColumn("unprotected", F.col("action") == "copy")
 
 
+def delivered(files: DataFrame, key: str = "doc_id", path: str = "rel_path", dossier: str = "dossier_id") -> DataFrame:
+    """One row for each file, however often it was delivered: the first by path and dossier."""
+    order = Window.partitionBy(key).orderBy(F.col(path).asc_nulls_first(), F.col(dossier).asc_nulls_first())
+    return files.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+
+
 def entity_counts(hits: DataFrame, key: list[str]) -> DataFrame:
     """Raw hits of each file and entity, before overlaps are resolved."""
     return hits.groupBy(*key, "entity").agg(F.count("*").alias("n_hits"))

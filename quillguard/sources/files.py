@@ -30,6 +30,16 @@ def discover(spark: SparkSession, root: str, content: bool = False) -> DataFrame
     return with_dossier(out).select(*cols, *(["content"] if content else []))
 
 
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row for each key, any of several; rows without a key all stay.
+
+    Only keys are shuffled to find those that come twice; the rows of all others are read where they lie, so that
+    texts are not moved for the sake of a few repeated rows.
+    """
+    twice = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    return df.join(twice, key, "left_anti").unionByName(df.join(twice, key, "left_semi").dropDuplicates([key]))
+
+
 def choose_root(argument: str | None, exists: Callable[[str], bool]) -> str:
     """The given folder, else data if it is there, else test."""
     return argument or ("data" if exists("data") else "test")
