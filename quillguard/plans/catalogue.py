@@ -103,7 +103,7 @@ def _compatible() -> tuple[str, str, dict[str, str]]:
         if k != c and k != unicodedata.normalize("NFC", c):
             if len(k) == 1:
                 one[c] = k
-            elif c in "…½¼¾™№" or "ﬀ" <= c <= "ﬆ" or "ﻵ" <= c <= "ﻼ":
+            elif c in "…½¼¾™№¨¯´¸˘˙˚˛˜˝" or "ﬀ" <= c <= "ﬆ" or "ﻵ" <= c <= "ﻼ":
                 several[c] = k
     return "".join(one), "".join(one.values()), several
 
