@@ -98,8 +98,10 @@ def odd(text: str) -> int:
 _STRANGE = re.compile("[\u0180-\u0191\u0193-\u02af\u0460-\u05ff\u0671-\u0678\u067a-\u067d\u067f-\u0685\u0687\u0689-\u0690\u0692-\u0697\u0699-\u06a8\u06aa-\u06ae\u06b0-\u06b9\u06bb-\u06bd\u06bf\u06c0\u06c2-\u06d1\u06d3-\u08ff]")
 
 
-def _undo_multi(run: str, table: dict[str, int]) -> tuple[str, list[int]] | None:
+@lru_cache(50_000)
+def _undo_multi(run: str, codec: str) -> tuple[str, list[int]] | None:
     """UTF-8 read as a one-byte code page: the text, and how many characters each of its own came from."""
+    table = byte_of(codec)
     raw = [table.get(c, -1) for c in run]
     if min(raw) >= 0x80:
         try:
@@ -170,10 +172,9 @@ def undo(text: str, chain: tuple[str, ...]) -> str | None:
                 at = b
             new = "".join(out) + text[at:]
         return new if new != text else None
-    table = byte_of(chain[1])
     out, at = [], 0
     for m in _RUN.finditer(text):
-        got = _undo_multi(m[0], table)
+        got = _undo_multi(m[0], chain[1])
         if got is not None:
             out += [text[at : m.start()], got[0]]
             at = m.end()
@@ -185,13 +186,12 @@ def undo_map(text: str, chain: tuple[str, ...]) -> tuple[str, list[int], list[in
     if chain[0] != "utf-8":
         new = undo(text, chain)
         return None if new is None else (new, list(range(len(text))), list(range(1, len(text) + 1)))
-    table = byte_of(chain[1])
     out: list[str] = []
     start: list[int] = []
     end: list[int] = []
     at = 0
     for m in _RUN.finditer(text):
-        got = _undo_multi(m[0], table)
+        got = _undo_multi(m[0], chain[1])
         if got is None:
             continue
         a, b = m.span()

@@ -201,13 +201,14 @@ _ACCOUNT = re.compile(r"(?<!\w)(?:[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9
 
 # Names by the features of their words: a run of capitalized words of which none is an ordinary one.
 _PARTICLE = r"(?:de|del|de la|da|di|von|van|van der|zu|bin|ben|al|el)"
-_RUN = re.compile(rf"(?<![\w@.&'’-])((?:{TITLE}[ \t]+)*)({_CAP}(?:[ \t]+(?:{_PARTICLE}[ \t]+)?{_CAP}){{1,3}})(?![\w@])")
+_RUN = re.compile(rf"(?<![\w@.&'’-]){_CAP}(?:[ \t]+(?:{_PARTICLE}[ \t]+)?{_CAP}){{1,4}}(?![\w@])")
 # Words after which a name often stands.
 _CUE = re.compile(
     r"(?i)(?:\b(?:of|by|to|with|from|for|met|that|and|contact|person|avec|par|que|de|à|a|pour|et|chez|con|por|para|y|mit|von|an|durch|für|und|dass|herr|frau|director|manager|colleague|collègue|kollege|kollegin)|[:,]|[ء-ي])[ \t]+$"
 )
 # Words of organisations and papers, of which a name has none.
 _ORG = frozenset("societe ste company institut institute instituto universite university universidad etablissements ets groupe group grupo laboratoire laboratory laboratorio fundacion foundation fondation academy academie academia gmbh sarl ltd inc llc ag ref no nr id national street road avenue rue calle".split())
+_INNER = re.compile(r"(?<=\s)(?=[A-ZÀ-ÖØ-Þ])")
 # Points for what speaks for a name; LIKELY are enough.
 GIVEN_POINTS, CUE_POINTS, TITLE_POINTS, LINE_POINTS, UNKNOWN_POINTS, LIKELY = 2, 2, 2, 2, 1, 4
 TOP_LINES = 8  # lines at the head of a page of which one may be a name alone
@@ -305,14 +306,16 @@ def find(text: str, vocabulary: frozenset[str] | None = None) -> list[tuple[int,
         for m in _RUN.finditer(plain):
             a, b = m.span()
             alone = b <= head and (a == 0 or plain[a - 1] == "\n") and (b == len(plain) or plain[b] == "\n")
-            if name_points(m[2], plain[max(0, a - 24) : a], m[1], alone, vocabulary) >= LIKELY:
-                add(_name_start(m), m.end(2), "NAME")
-            else:  # the run may begin with ordinary words
-                for x in list(re.finditer(r"(?<=\s)(?=\S)", m[2]))[:-1]:
-                    k = m.start(2) + x.start()
-                    if plain[k].isupper() and name_points(plain[k : m.end(2)], plain[max(0, k - 24) : k], "", False, vocabulary) >= LIKELY:
-                        add(k, m.end(2), "NAME")
-                        break
+            title = _TITLES.match(m[0])
+            start = a + title.end() if title else a
+            if name_points(plain[start:b], plain[max(0, a - 24) : a], title[0] if title else "", alone, vocabulary) >= LIKELY:
+                add(start, b, "NAME")
+                continue
+            for x in list(_INNER.finditer(m[0]))[:-1]:  # the run may begin with ordinary words
+                k = a + x.start()
+                if name_points(plain[k:b], plain[max(0, k - 24) : k], "", False, vocabulary) >= LIKELY:
+                    add(k, b, "NAME")
+                    break
     return sorted(found)
 
 
