@@ -58,6 +58,35 @@ def fit_sample(documents: DataFrame, n: int = FIT_DOCUMENTS) -> list[tuple[str,
     return [(r["lang"], r["text"]) for r in rows if r["text"] and len(r["text"]) > 40]
 
 
+SHARE = 0.01  # of the rows, from which a key is spread over several tasks; so there are a hundred of them at most
+SALTS = 64
+SMALL = 10_000  # rows up to which a table of counts is sent to all tasks
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, sized: DataFrame | None = None) -> DataFrame:
+    """Left join with a table of one row for each key.  Rows of a key that holds more than SHARE of them, and rows
+    without a key, are spread over SALTS tasks by the hashed column ``spread``; the key's row goes to each.
+
+    Which keys those are is asked of ``sized``, a written table with that column, so that nothing is computed twice.
+    """
+    asked = (left if sized is None else sized).select(key)
+    total = asked.count()
+    hot = [r[0] for r in asked.groupBy(key).count().where((F.col("count") > SHARE * total) & F.col(key).isNotNull()).select(key).limit(int(1 / SHARE)).collect()]
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    a = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), salt).otherwise(F.lit(0)))
+    b = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return a.join(b, [key, "_salt"], "left").drop("_salt")
+
+
+def small_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join with a table of counts that is sent to all tasks if it has no more than SMALL rows, and salted else."""
+    right = materialize(right)
+    if right.limit(SMALL + 1).count() <= SMALL:
+        return left.join(F.broadcast(right), key, "left")
+    return salted_join(left, right, key, key)
+
+
 class TextModels:
     """Language model, per-language zstandard dictionaries and ordinary words from one labelled sample."""
 

@@ -3,7 +3,7 @@
 Each stretch of full sentences of one language on a page brings text likelihoods.  They are fused with
 what the file declares (its recorded languages), the suffixes of the addresses on the page, and a prior of
 its host that is smoothed from the whole corpus to the dossier to the file; all three are learned from the
-confident stretches by grouped aggregation.
+confident stretches by grouped aggregation, each stretch's own share left out.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ref, map_rows, materialize, table, text_models
+from .common import Ref, map_rows, materialize, salted_join, small_join, table, text_models
 from .language import LANGS, stretches
 
 CONFIDENT = 4.0  # log-odds from the text alone that make a stretch count in the evidence tables
@@ -63,11 +63,19 @@ def _counts(label: Column) -> list[Column]:
     return [F.sum((label == x).cast("double")).alias(f"n_{x}") for x in LANGS]
 
 
-def _share(prefix: str, parent: list[Column]) -> list[Column]:
+def _array(prefix: str) -> Column:
+    """Counts of a joined table as one array; zeros where nothing was joined."""
+    return F.array(*[F.coalesce(F.col(f"{prefix}{x}"), F.lit(0.0)) for x in LANGS])
+
+
+def _share(counts: Column, parent: Column) -> Column:
     """Counts of one level smoothed by the shares of the level above it."""
-    n = [F.coalesce(F.col(f"{prefix}{x}"), F.lit(0.0)) for x in LANGS]
-    total = sum(n[1:], n[0])
-    return [(a + SMOOTH * p) / (total + SMOOTH) for a, p in zip(n, parent)]
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    return F.zip_with(counts, parent, lambda n, p: (F.greatest(n, F.lit(0.0)) + SMOOTH * p) / (F.greatest(total, F.lit(0.0)) + SMOOTH))
+
+
+def _less(counts: Column, own: Column) -> Column:
+    return F.zip_with(counts, own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
 
 
 def _rename(df: DataFrame, prefix: str) -> DataFrame:
@@ -77,44 +85,49 @@ def _rename(df: DataFrame, prefix: str) -> DataFrame:
 def fuse(seg: DataFrame, declared: DataFrame) -> DataFrame:
     """Language and confidence of each stretch from all evidence; pages without a file have the corpus's prior.
 
-    ``declared``: doc_id, languages (array, null counts as empty).  All tables that are joined hold one row
-    per dossier, file, suffix or declared set; the corpus-wide shares are five numbers.
+    ``declared``: doc_id, languages (array, null counts as empty).  What a stretch has itself brought to the counts
+    of its file, its dossier, its file's declared set and its address suffix is taken out of them before they speak
+    for it, so that no stretch confirms itself.  An address counts as the whole host, backed off to its last
+    label.  Of files, dossiers and suffixes, one row each is joined; those that hold more than a hundredth of the
+    rows, and rows without one, are spread over several tasks.
     """
     best = F.array_max("ll")
     label = F.element_at(F.array(*map(F.lit, LANGS)), F.array_position("ll", best).cast("int"))
     second = F.element_at(F.sort_array("ll", asc=False), 2)
-    sure = seg.withColumn("label", label).where(best - second >= CONFIDENT)
+    seg = seg.withColumn("label", F.when(best - second >= CONFIDENT, label)).withColumn("tld", F.regexp_extract("suffix", "[^.]+$", 0))
+    sure = seg.where("label is not null")
 
     whole = sure.agg(*_counts(F.col("label"))).first()  # five numbers
-    by_doc = sure.groupBy("doc_id").agg(F.min("dossier_id").alias("host"), *_counts(F.col("label")))
+    by_doc = materialize(sure.groupBy("doc_id").agg(F.min("dossier_id").alias("host"), *_counts(F.col("label"))))
     by_host = _rename(by_doc.where(F.col("host").isNotNull()).groupBy("host").agg(*[F.sum(f"n_{x}").alias(f"n_{x}") for x in LANGS]), "h_")
-    by_suffix = _rename(sure.where(F.col("suffix") != "").groupBy("suffix").agg(*_counts(F.col("label"))), "s_")
+    named = sure.where(F.col("suffix") != "").groupBy("suffix", "tld").agg(*_counts(F.col("label")))
+    by_suffix = _rename(named.drop("tld"), "s_")
+    by_tld = _rename(named.groupBy("tld").agg(*[F.sum(f"n_{x}").alias(f"n_{x}") for x in LANGS]), "t_")
     decl = declared.groupBy("doc_id").agg(F.max(F.concat_ws(",", F.sort_array(F.coalesce("languages", F.array().cast("array<string>"))))).alias("declared"))
-    by_decl = (
-        by_doc.join(decl, "doc_id").groupBy("declared").agg(*[F.sum(F.least(f"n_{x}", F.lit(1.0))).alias(f"n_{x}") for x in LANGS]).transform(lambda d: _rename(d, "d_"))
-    )
+    # of a declared set: the files in which each language was found
+    by_decl = by_doc.join(decl, "doc_id").groupBy("declared").agg(*[F.sum(F.least(f"n_{x}", F.lit(1.0))).alias(f"n_{x}") for x in LANGS]).transform(lambda d: _rename(d, "d_"))
 
     n = [whole[f"n_{x}"] or 0.0 for x in LANGS]
-    base = [F.lit((x + 1.0) / (sum(n) + len(LANGS))) for x in n]
-    docs = (
-        seg.select("doc_id", "dossier_id").groupBy("doc_id").agg(F.min("dossier_id").alias("host"))
-        .join(_rename(by_doc.drop("host"), "f_"), "doc_id", "left")
-        .join(by_host, "host", "left")
-        .join(decl, "doc_id", "left")
-        .join(by_decl, "declared", "left")
-    )
-    host = _share("h_", base)
-    prior = _share("f_", host)
-    evidence = _share("d_", base)
-    docs = docs.select(
-        "doc_id",
-        F.array(*[F.log(p) + EVIDENCE_WEIGHT * (F.log(e) - F.log(b)) for p, e, b in zip(prior, evidence, base)]).alias("log_prior"),
-    )
-    # pages without an address are most of all: spread over keys that match nothing
-    none = F.concat(F.lit("#"), F.pmod(F.xxhash64("page_id"), F.lit(4096)).cast("string"))
-    joined = seg.join(docs, "doc_id", "left").withColumn("suffix", F.when(F.col("suffix") == "", none).otherwise(F.col("suffix"))).join(by_suffix, "suffix", "left")
-    suffix = _share("s_", base)
-    post = F.array(*[F.col("ll")[i] + F.coalesce(F.col("log_prior")[i], F.log(base[i])) + EVIDENCE_WEIGHT * (F.log(suffix[i]) - F.log(base[i])) for i in range(len(LANGS))])
+    base = F.array(*[F.lit((x + 1.0) / (sum(n) + len(LANGS))) for x in n])
+    docs = seg.select("doc_id", "dossier_id").groupBy("doc_id").agg(F.min("dossier_id").alias("host")).join(_rename(by_doc.drop("host"), "f_"), "doc_id", "left").join(decl, "doc_id", "left")
+    docs = small_join(salted_join(docs, by_host, "host", "doc_id", seg.withColumnRenamed("dossier_id", "host")), by_decl, "declared")
+    docs = docs.select("doc_id", _array("f_").alias("f"), _array("h_").alias("h"), _array("d_").alias("d"))
+
+    joined = salted_join(seg, docs, "doc_id", "page_id", seg)
+    # the suffixes of most pages are empty and match nothing
+    joined = salted_join(joined.withColumn("suffix", F.when(F.col("suffix") != "", F.col("suffix"))), by_suffix, "suffix", "page_id", seg.where("suffix <> ''"))
+    joined = small_join(joined, by_tld, "tld")
+    zero = F.array(*[F.lit(0.0)] * len(LANGS))
+    own = F.array(*[F.coalesce((F.col("label") == x).cast("double"), F.lit(0.0)) for x in LANGS])
+    file_ = F.coalesce("f", zero)
+    host = _share(_less(F.coalesce("h", zero), own), base)
+    prior = _share(_less(file_, own), host)
+    evidence = _share(_less(F.coalesce("d", zero), F.transform(file_, lambda x: F.least(x, F.lit(1.0)))), base)
+    with_host = F.col("suffix").isNotNull()
+    suffix = _share(_less(_array("s_"), F.when(with_host, own).otherwise(zero)), _share(_less(_array("t_"), F.when(with_host, own).otherwise(zero)), base))
+    joined = joined.select("*", prior.alias("prior"), evidence.alias("evidence"), suffix.alias("mail"))
+    ratio = lambda c, i: EVIDENCE_WEIGHT * (F.log(F.col(c)[i]) - F.log(base[i]))
+    post = F.array(*[F.col("ll")[i] + F.log(F.col("prior")[i]) + ratio("evidence", i) + ratio("mail", i) for i in range(len(LANGS))])
     joined = joined.withColumn("post", post)
     top = F.array_max("post")
     return joined.select(

@@ -60,6 +60,53 @@ def test_fusion(spark, pages, ref):
     assert P1.fuse(empty, declared.limit(0)).count() == 0
 
 
+def test_no_stretch_confirms_itself(spark):
+    """A stretch alone in its file, dossier and declared set has the corpus's prior; a second one speaks for it."""
+    import math
+
+    flat = [0.0, -9.0, -9.0, -9.0, -9.0]
+    en = [-9.0, -9.0, 0.0, -9.0, -5.0]
+    schema = "page_id long, doc_id long, dossier_id string, seg_no int, start int, end int, n_sentences int, suffix string, ll array<double>"
+    rows = [(1, 10, "A", 0, 0, 9, 1, "a.example", en), (2, 20, "B", 0, 0, 9, 1, "", flat), (3, 30, "B", 0, 0, 9, 1, "", flat)]
+    declared = spark.createDataFrame([(10, ["en"])], "doc_id long, languages array<string>")
+    got = {r["page_id"]: r for r in P1.fuse(spark.createDataFrame(rows, schema), declared).collect()}
+    base = [3 / 8, 1 / 8, 2 / 8, 1 / 8, 1 / 8]  # ar, de, en, es, fr: one more than counted, of all
+    post = [math.exp(x) * p for x, p in zip(en, base)]
+    assert got[1]["lang"] == "en" and abs(got[1]["confidence"] - post[2] / sum(post)) < 1e-5
+    more = rows + [(4, 10, "A", 0, 0, 9, 1, "b.example", en)]
+    again = {r["page_id"]: r for r in P1.fuse(spark.createDataFrame(more, schema), declared).collect()}
+    assert again[1]["confidence"] > got[1]["confidence"]
+
+
+def test_confidence_is_calibrated(spark, ref, data):
+    """Stretches cut to a few words: where the posterior says so much, at least about so many are right."""
+    from quillguard.llm import language
+
+    model, _ = ref.models()
+    rows = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet").select("lang", "text").dropna().collect()
+    said = []
+    for r in rows:
+        if r["lang"] not in language.LANGS:
+            continue
+        truth = model.document(r["text"])  # labels may be wrong: the whole text decides
+        for s in language.sentences(r["text"])[:4]:
+            x = model.score(" ".join(s[2].split()[:4]))
+            if x is not None and truth:
+                p = [2.718281828**v for v in x]
+                said.append((max(p) / sum(p), language.LANGS[x.index(max(x))] == truth))
+    sure = [ok for c, ok in said if c > 0.9]
+    assert len(sure) > 500 and sum(sure) / len(sure) > 0.93
+
+
+def test_salted_join(spark, monkeypatch):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(300)], "id long, k string")
+    right = spark.createDataFrame([("hot", 1), ("k6", 2), ("other", 3)], "k string, v int")
+    want = sorted(((r["id"], r["v"]) for r in left.join(right, "k", "left").collect()))
+    assert sorted(((r["id"], r["v"]) for r in common.salted_join(left, right, "k", "id").collect())) == want
+    monkeypatch.setattr(common, "SMALL", 1)
+    assert sorted(((r["id"], r["v"]) for r in common.small_join(left, right, "k").collect())) == want
+
+
 COLUMNS = {
     "p1_found": "doc_id bigint, lang string", "p2_found": "page_id bigint, field_name string, pii_kind string, found_text string", "p3_found": "page_id bigint",
     "p4_found": "name_id_a bigint, name_id_b bigint", "p5_found": "tab_name string, rec_id bigint", "p7_found": "doc_id bigint, item_id bigint",
