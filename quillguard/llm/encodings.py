@@ -73,10 +73,13 @@ ODD = re.compile(_ODD)
 SAFE_CLASS = "\t-~\u060c\u061b\u061f\u0621-\u0652\u0660-\u066càâäçéèêëîïôöùûüœæñáíóúßÀÉ°²’“”–•"
 UNSAFE = re.compile(f"[^{SAFE_CLASS}]")
 SAFE = frozenset(c for c in map(chr, range(0x2100)) if not UNSAFE.match(c))
+_L = "A-Za-zÀ-ÿ"
+# Places among safe characters that may be unlikely; looked at behind each character beyond ASCII, so that the
+# pattern engine passes over all others.
 GLUED = re.compile(
-    "[A-Za-zÀ-ÿ][\u0621-\u0652]|[\u0621-\u0652][A-Za-zÀ-ÿ²°]|[a-zß-ÿ][ÀÉ]|[a-z][°²“”–][a-z]"
-    "|[À-ÿ]{3}|(?<![A-Za-zÀ-ÿ])[À-ÿ]{2}(?![A-Za-z])|À(?![A-Za-zÀ-ÿ\\s])"
-    "|[a-z][îï](?![A-Za-zÀ-ÿ])|(?<![A-Za-zÀ-ÿ])[ïîëñíÔ](?![A-Za-zÀ-ÿ'’])"
+    f"[^\\x00-\\x7f](?:(?<=[{_L}][\u0621-\u0652])|(?<=[\u0621-\u0652])(?=[{_L}²°])|(?<=[a-zß-ÿ][ÀÉ])|(?<=[a-z][°²“”–])(?=[a-z])"
+    f"|(?<=[À-ÿ])(?=[À-ÿ]{{2}})|(?<=[À-ÿ])(?<![{_L}][\\s\\S])(?=[À-ÿ](?![A-Za-z]))|(?<=À)(?![{_L}\\s])"
+    f"|(?<=[a-z][îï])(?![{_L}])|(?<=[ïîëñíÔ])(?<![{_L}][\\s\\S])(?![{_L}'’]))"
 )
 
 

@@ -43,8 +43,9 @@ def placeholder(kind: str, sound: str, key: bytes) -> str:
     return f"[{kind} {pseudonyms.tag(plain, key, kind)}]"
 
 
-def pieces_of(text: str | None, field: str, repairer, vocabulary, secret: bytes, dates: bool = False) -> list[dict]:
-    """Pieces of personal data of a stored text in their order, without overlaps, each with its placeholder."""
+def pieces_of(text: str | None, repairer, vocabulary, secret: bytes, dates: bool = False) -> list[tuple[str, int, int, str, str]]:
+    """Pieces of personal data of a stored text in their order, without overlaps, each with its placeholder: kind, start,
+    end, found text, placeholder."""
     if not text:
         return []
     sound, start, end, _, _ = repairer.map(text)
@@ -62,19 +63,45 @@ def pieces_of(text: str | None, field: str, repairer, vocabulary, secret: bytes,
         else:
             other = pseudonyms.day(value[0], secret)
             new = f"[DATE {value[1].format(other.year, other.month, other.day)}]"
-        out.append({"field_name": field, "pii_kind": kind, "start": a, "end": b, "found_text": text[a:b], "placeholder": new})
+        out.append((kind, a, b, text[a:b], new))
         at = b
     return out
 
 
-def redact(df: DataFrame, key: str, fields: list[str], ref: Ref, secret: bytes | None = None, dates: bool = False, texts: bool = True) -> DataFrame:
+def found_pieces(df: DataFrame, key: str, fields: list[str], ref: Ref, secret: bytes | None = None, dates: bool = False) -> DataFrame:
+    """The list of what ``redact`` replaces, one row each: key, field_name, pii_kind, start, end, found_text, placeholder."""
+    secret = secret or session_key(df.sparkSession)
+    names = ("pii_kind", "start", "end", "found_text", "placeholder")
+
+    def make():
+        _, repairer = ref.models()
+        vocabulary = ref.vocabulary()
+
+        def f(c):
+            keys, where, rows = [], [], []
+            for k, *texts in zip(c[key], *(c[x] for x in fields)):
+                for t, field in zip(texts, fields):
+                    if t and (found := pieces_of(t, repairer, vocabulary, secret, dates)):
+                        keys += [k] * len(found)
+                        where += [field] * len(found)
+                        rows += found
+            return {key: keys, "field_name": where} | dict(zip(names, map(list, zip(*rows)) if rows else [[] for _ in names]))
+
+        return f
+
+    kind = dict(df.dtypes)[key]
+    return map_rows(df.select(key, *fields), make, f"{key} {kind}, field_name string, pii_kind string, start int, end int, found_text string, placeholder string")
+
+
+def redact(df: DataFrame, key: str, fields: list[str], ref: Ref, secret: bytes | None = None, dates: bool = False) -> DataFrame:
     """Texts with personal data replaced by typed placeholders, and the list of what was replaced.
 
-    Out: key, redacted (one text per field, null for null; none at all without ``texts``), pieces.  Everything
-    outside the pieces stays exactly as stored; dates are replaced only on request.  Null, empty and blank texts
-    have no pieces; repeated rows give repeated rows.
+    Out: key, redacted (one text per field, null for null), pieces.  Everything outside the pieces stays exactly as
+    stored; dates are replaced only on request.  Null, empty and blank texts have no pieces; repeated rows give
+    repeated rows.
     """
     secret = secret or session_key(df.sparkSession)
+    names = ("field_name", "pii_kind", "start", "end", "found_text", "placeholder")
 
     def make():
         _, repairer = ref.models()
@@ -85,10 +112,9 @@ def redact(df: DataFrame, key: str, fields: list[str], ref: Ref, secret: bytes |
             for row in zip(*(c[x] for x in fields)):
                 every, done = [], []
                 for t, field in zip(row, fields):
-                    found = pieces_of(t, field, repairer, vocabulary, secret, dates)
-                    every += found
-                    if texts:
-                        done.append(replaced(t, found))
+                    found = pieces_of(t, repairer, vocabulary, secret, dates)
+                    every += [dict(zip(names, (field, *x))) for x in found]
+                    done.append(replaced(t, found))
                 out["redacted"].append(done)
                 out["pieces"].append(every)
             return out
@@ -99,14 +125,14 @@ def redact(df: DataFrame, key: str, fields: list[str], ref: Ref, secret: bytes |
     return map_rows(df.select(key, *fields), make, f"{key} {kind}, redacted array<string>, pieces {_PIECES}")
 
 
-def replaced(text: str | None, pieces: list[dict]) -> str | None:
+def replaced(text: str | None, pieces: list[tuple[str, int, int, str, str]]) -> str | None:
     """The text with each piece's placeholder in its place."""
     if not pieces:
         return text
     out, at = [], 0
-    for p in pieces:
-        out += [text[at : p["start"]], p["placeholder"]]
-        at = p["end"]
+    for _, a, b, _, new in pieces:
+        out += [text[at:a], new]
+        at = b
     return "".join(out) + text[at:]
 
 
@@ -121,5 +147,5 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each piece of personal data that is replaced in a field of a page."""
     ref = Ref(text_models(spark, table(spark, sf_dir, "documents")))
-    out = redact(table(spark, sf_dir, "dossier_pages"), "page_id", ["raw_text", "header_text"], ref, texts=False)
-    return out.select("page_id", F.explode("pieces").alias("p")).select("page_id", "p.field_name", "p.pii_kind", "p.found_text").distinct()
+    out = found_pieces(table(spark, sf_dir, "dossier_pages"), "page_id", ["raw_text", "header_text"], ref)
+    return out.select("page_id", "field_name", "pii_kind", "found_text").distinct()

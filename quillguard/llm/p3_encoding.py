@@ -51,3 +51,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with at least one character from a wrong decoding."""
     ref = Ref(text_models(spark, table(spark, sf_dir, "documents")))
     return repair(table(spark, sf_dir, "dossier_pages"), ref).select("page_id").distinct()
+
+
+LOST_OR_CONTROL = "[\\x{0080}-\\x{009F}\\x{FFFD}]"
+
+
+def p3_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pages found, those with a control character or a lost one, which no sound text has."""
+    found = p3_found(spark, sf_dir)
+    pages = table(spark, sf_dir, "dossier_pages").where(F.col("raw_text").rlike(LOST_OR_CONTROL)).select("page_id").distinct()
+    return pages.join(found, "page_id", "left_semi")
+
+
+SQL = {"p3_controls": f"SELECT DISTINCT page_id FROM dossier_pages WHERE regexp_matches(raw_text, '{LOST_OR_CONTROL}')"}

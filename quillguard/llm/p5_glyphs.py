@@ -57,3 +57,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = unify(table(spark, sf_dir, "candidate_names"), "name_id", "candidate_name")
     shape = lambda df, tab, key: df.select(F.lit(tab).alias("tab_name"), F.col(key).alias("rec_id"))
     return shape(pages, "dossier_pages", "page_id").unionByName(shape(names, "candidate_names", "name_id")).distinct()
+
+
+# Full-width forms, ligatures, presentation forms, invisible characters, and marks on a plain letter.
+EVIDENT = "[\\x{FF01}-\\x{FF5E}\\x{FB00}-\\x{FB06}\\x{FE70}-\\x{FEFC}\\x{200B}-\\x{200F}\\x{2060}\\x{00AD}\\x{00A0}]|[a-zA-Z][\\x{0300}-\\x{0304}\\x{0308}]"
+
+
+def p5_evident_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the names found, those with a character of the evident classes."""
+    names = table(spark, sf_dir, "candidate_names")
+    return names.where(F.col("candidate_name").rlike(EVIDENT)).select("name_id").distinct().join(unify(names, "name_id", "candidate_name"), "name_id", "left_semi")
+
+
+SQL = {"p5_evident_names": f"SELECT DISTINCT name_id FROM candidate_names WHERE regexp_matches(candidate_name, '{EVIDENT}')"}

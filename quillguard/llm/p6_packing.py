@@ -156,3 +156,21 @@ def p6_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = table(spark, sf_dir, "pack_limits")
     per = p6_containers(spark, sf_dir).groupBy("limit_name").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"))
     return per.join(F.broadcast(limits.distinct()), "limit_name").withColumn("used", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 4))
+
+
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packing has to keep, for each limit: documents packed, pieces packed twice, overfull containers, texts split
+    that would have fitted whole."""
+    limits = table(spark, sf_dir, "pack_limits").distinct()
+    c = materialize(p6_containers(spark, sf_dir))
+    docs = c.groupBy("limit_name", "doc_id").agg(F.count("*").alias("pieces"), F.countDistinct("piece_no").alias("kinds"), F.sum("n_tokens").alias("n")).join(F.broadcast(limits), "limit_name")
+    docs = docs.groupBy("limit_name").agg(
+        F.count("*").alias("n_documents"), F.sum(F.col("pieces") - F.col("kinds")).alias("n_twice"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity_tokens"))).alias("n_torn")
+    )
+    bins = c.groupBy("limit_name", "container_id").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(limits), "limit_name")
+    return docs.join(bins.groupBy("limit_name").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("n_overfull")), "limit_name")
+
+
+SQL = {
+    "p6_invariants": "SELECT limit_name, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, 0::BIGINT AS n_twice, 0::BIGINT AS n_torn, 0::BIGINT AS n_overfull FROM (SELECT DISTINCT limit_name FROM pack_limits WHERE capacity_tokens > 0)"
+}

@@ -101,3 +101,11 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level of every document of at least forty words."""
     return p8_levels(spark, sf_dir).select("doc_id", "reading_level")
+
+
+def p8_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a level, and whether it is one of the scale."""
+    return p8_found(spark, sf_dir).select("doc_id", F.col("reading_level").between(1, 4).alias("on_scale"))
+
+
+SQL = {"p8_covered": "SELECT DISTINCT doc_id, true AS on_scale FROM documents WHERE len(list_filter(string_split_regex(text, '[\\s\\p{Z}\\x0B\\x{0085}\\x{001C}-\\x{001F}]+'), lambda x: x <> '')) >= 40"}

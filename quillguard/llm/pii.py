@@ -149,13 +149,14 @@ _PHONE = re.compile(
     rf"|[5-7]\d{{8}}"
     rf")(?![\d/]|[-.]\d|\w)"
 )
+_NUMBER = re.compile(r"\d(?:[ \-.()]{0,3}\d){7}")  # what every phone number has
 # Words before a number that make it something else than a phone number.
 _NOT_PHONE = re.compile(r"(?i)(?:order no\.?|no\.|n°|nr\.?|lot|sku|ref\.?|build|diploma|iso|article|art\.|commande|siret|isbn|eur|surface|gpa)[ :]*$")
 
 # Labels of a person's identity papers in five languages.
 _ID_LABELS = (
     r"CIN|CNIE|C\.I\.N\.?|Carte nationale(?: d'identité)?|Pièce d'identité|N° de sécurité sociale|Numéro de sécurité sociale|Passeport|Titre de séjour"
-    r"|ID card|National ID|Identity document|Identity card|Social security (?:number|no\.?)|SSN|[Pp]assport(?: No\.?| number)?|DNI|NIE|Documento de identidad|Pasaporte"
+    r"|ID card|National ID|Identity document|Identity card|Social security (?:number|no\.?)|SSN|Passport(?: No\.?| number)?|passport(?: no\.?| number)?|DNI|NIE|Documento de identidad|Pasaporte"
     r"|Número de la seguridad social|Seguridad social|N\.º de la Seguridad Social|Personalausweis(?:nummer)?|Ausweisnummer|Ausweis|Reisepass(?:nummer)?|Sozialversicherungsnummer"
     r"|رقم البطاقة الوطنية|رقم جواز السفر|بطاقة التعريف(?: الوطنية)?|جواز السفر|رقم الضمان الاجتماعي|رقم بطاقة التعريف"
 )
@@ -201,13 +202,14 @@ _ACCOUNT = re.compile(r"(?<!\w)(?:[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9
 
 # Names by the features of their words: a run of capitalized words of which none is an ordinary one.
 _PARTICLE = r"(?:de|del|de la|da|di|von|van|van der|zu|bin|ben|al|el)"
-_RUN = re.compile(rf"(?<![\w@.&'’-]){_CAP}(?:[ \t]+(?:{_PARTICLE}[ \t]+)?{_CAP}){{1,4}}(?![\w@])")
+_RUN = re.compile(rf"{_CAP}(?:[ \t]+(?:{_PARTICLE}[ \t]+)?{_CAP}){{1,4}}(?![\w@])")
 # Words after which a name often stands.
 _CUE = re.compile(
     r"(?i)(?:\b(?:of|by|to|with|from|for|met|that|and|contact|person|avec|par|que|de|à|a|pour|et|chez|con|por|para|y|mit|von|an|durch|für|und|dass|herr|frau|director|manager|colleague|collègue|kollege|kollegin)|[:,]|[ء-ي])[ \t]+$"
 )
 # Words of organisations and papers, of which a name has none.
 _ORG = frozenset("societe ste company institut institute instituto universite university universidad etablissements ets groupe group grupo laboratoire laboratory laboratorio fundacion foundation fondation academy academie academia gmbh sarl ltd inc llc ag ref no nr id national street road avenue rue calle".split())
+_INSIDE = re.compile(r"[\w@.&'’-]")  # before a capital that begins no word
 _INNER = re.compile(r"(?<=\s)(?=[A-ZÀ-ÖØ-Þ])")
 # Points for what speaks for a name; LIKELY are enough.
 GIVEN_POINTS, CUE_POINTS, TITLE_POINTS, LINE_POINTS, UNKNOWN_POINTS, LIKELY = 2, 2, 2, 2, 1, 4
@@ -275,7 +277,7 @@ def find(text: str, vocabulary: frozenset[str] | None = None) -> list[tuple[int,
                 add(*m.span(), "ADDRESS")
     if _ACCOUNT.search(plain):
         taken += [m.span() for m in _ACCOUNT.finditer(plain)]
-    for m in _PHONE.finditer(plain):
+    for m in _PHONE.finditer(plain) if _NUMBER.search(plain) else ():
         if 8 <= sum(c.isdigit() for c in m[0]) <= 15 and not _NOT_PHONE.search(plain, max(0, m.start() - 24), m.start()):
             add(*m.span(), "PHONE")
     for trigger, pattern in _RUNNING:
@@ -308,7 +310,7 @@ def find(text: str, vocabulary: frozenset[str] | None = None) -> list[tuple[int,
             alone = b <= head and (a == 0 or plain[a - 1] == "\n") and (b == len(plain) or plain[b] == "\n")
             title = _TITLES.match(m[0])
             start = a + title.end() if title else a
-            if name_points(plain[start:b], plain[max(0, a - 24) : a], title[0] if title else "", alone, vocabulary) >= LIKELY:
+            if not (a and _INSIDE.match(plain[a - 1])) and name_points(plain[start:b], plain[max(0, a - 24) : a], title[0] if title else "", alone, vocabulary) >= LIKELY:
                 add(start, b, "NAME")
                 continue
             for x in list(_INNER.finditer(m[0]))[:-1]:  # the run may begin with ordinary words

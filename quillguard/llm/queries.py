@@ -20,4 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can state: what results have to keep, and cases that are evident from characters."""
+    out: dict[str, str] = {}
+    for name in _MODULES:
+        out |= getattr(import_module(f"{__package__}.{name}"), "SQL", {})
+    return out

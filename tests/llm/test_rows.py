@@ -45,8 +45,9 @@ def test_redaction_keeps_all_else(pages, ref):
             assert r["redacted"][0].startswith("Nom : [NAME ") and r["redacted"][0].endswith("vieux canal.") and r["redacted"][1] is None
         if r["page_id"] == 2:
             assert r["redacted"][1].startswith("[EMAIL ")
-    rows = P2.redact(pages, "page_id", ["raw_text", "header_text"], ref, texts=False).collect()
-    found = {(r["page_id"], p["field_name"], p["pii_kind"], p["found_text"]) for r in rows for p in r["pieces"]}
+    listed = sorted((r["page_id"] or 0, *r[1:]) for r in P2.found_pieces(pages, "page_id", ["raw_text", "header_text"], ref).collect())
+    assert listed == sorted((r["page_id"] or 0, *p) for r in P2.redact(pages, "page_id", ["raw_text", "header_text"], ref).collect() for p in r["pieces"])
+    found = {(r[0], r[1], r[2], r[5]) for r in listed}
     assert found == {(1, "raw_text", "NAME", "Karl Mozdrin"), (2, "header_text", "EMAIL", "a@b.example")}
 
 
