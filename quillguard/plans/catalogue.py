@@ -191,22 +191,6 @@ def masked_fixed_width(spark, d):
     return _pages(spark, d).select("page_id", hits.masked_fixed_width("raw_text", P.EMAIL).alias("masked"))
 
 
-@_query()
-def rule_catalogue_hits(spark, d):
-    p = _pages(spark, d).withColumn("lang", _lang())
-    return hits.rule_hits(p, ["page_id"], "raw_text", "lang", resolve=True)
-
-
-@_query()
-def arabic_person_hits(spark, d):
-    return arabic.person_hits(_pages(spark, d), ["page_id"], "raw_text")
-
-
-@_query()
-def arabic_second_pass(spark, d):
-    return arabic.second_pass(_pages(spark, d), ["page_id"], "raw_text")
-
-
 @_query(f"SELECT page_id, unnest(list_filter(string_split_regex(found, '\\s+'), lambda x: length(x) >= 3)) AS part FROM (SELECT page_id, unnest(mails) AS found FROM {_MAILS})")
 def email_part_search(spark, d):
     return hits.email_hits(_pages(spark, d), ["page_id"], "raw_text").select("page_id", F.explode(T.email_parts("found")).alias("part"))
@@ -301,6 +285,89 @@ def languages_per_file(spark, d):
     return out.select("doc_id", F.concat(F.lit("["), F.array_join("languages", ", "), F.lit("]")).alias("languages"))
 
 
+def _spans(source: str, text: str, begins: str, match: str) -> str:
+    """SQL of the matches of a pattern from left to right: page_id, h (place s from one, match f).  ``match`` is the match
+    at the head of substr(t, i), or an empty string; ``begins`` whether one may begin at place i of t."""
+    return (
+        f"(WITH c AS (SELECT page_id, {text} AS t, unnest(range(1, length({text}) + 1)) AS i FROM {source}), m AS (SELECT page_id, i, {match} AS f FROM c WHERE {begins}), "
+        "g AS (SELECT page_id, list(struct_pack(s := i, f := f) ORDER BY i) AS l FROM m WHERE f <> '' GROUP BY page_id) "
+        "SELECT page_id, unnest(list_reduce(l, lambda a, x: CASE WHEN len(a) = 0 OR x.s >= a[-1].s + length(a[-1].f) THEN list_append(a, x) ELSE a END, []::STRUCT(s BIGINT, f VARCHAR)[])) AS h FROM g)"
+    )
+
+
+def _best(hits_: str) -> str:
+    """SQL of the hits that no better one overlaps: higher score, then longer, then earlier, then by rule."""
+    rank = lambda a: f"({a}.score, {a}.\"end\" - {a}.start, -{a}.start, {a}.rule)"
+    return f"WITH x AS MATERIALIZED ({hits_}) SELECT * FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.page_id = a.page_id AND a.start < b.\"end\" AND b.start < a.\"end\" AND {rank('b')} > {rank('a')})"
+
+
+def _as_hits(spans: str, entity: str, rule: str, score: str, skip: str = "0") -> str:
+    return f"SELECT page_id, (h.s - 1 + {skip})::INT AS start, (h.s - 1 + length(h.f))::INT AS \"end\", substr(h.f, 1 + {skip}) AS found, '{entity}' AS entity, '{rule}' AS rule, {score}::DOUBLE AS score FROM {spans}"
+
+
+# The regional rules: languages, pattern, score; none has a digit beside it.
+_REGIONAL = {
+    "phone_fr_trunk": (["fr"], "(?:0|\\+33\\s*(?:\\(0\\)\\s*)?)[1-9](?:[\\s.-]?[0-9]{2}){4}", 0.85),
+    "phone_fr_spaced": (["fr"], "(?:0|\\+33\\s*)[1-9](?:\\s+[0-9]{2}){4}", 0.90),
+    "phone_ma_international": (["ar", "fr", "en"], "(?:\\+212\\s*(?:\\(0\\)\\s*)?|00212\\s*)[5-7](?:[\\s.-]?[0-9]{2}){4}", 0.90),
+    "phone_ma_trunk": (["ar", "fr", "en"], "0[5-7](?:[\\s.-]?[0-9]{2}){4}", 0.85),
+    "phone_dz_tn": (["ar", "fr", "en"], "(?:\\+213|\\+216|00213|00216)[\\s.-]?[5-7][0-9](?:[\\s.-]?[0-9]{2}){3}", 0.85),
+    "phone_international": (["en", "fr", "ar"], "(?:\\+|00)[1-9][0-9]{0,3}[\\s.-]?(?:\\(?[0-9]{1,4}\\)?[\\s.-]?)?[0-9]{1,4}[\\s.-]?[0-9]{2,4}[\\s.-]?[0-9]{2,9}", 0.80),
+}
+_SPOKEN = f"(SELECT *, {_DETECT} AS lang FROM {_PAGES} WHERE regexp_matches(raw_text, '[0-9@]|\\[at\\]'))"
+_BY_RULE = " UNION ALL ".join(
+    _as_hits(
+        _spans(f"(SELECT * FROM {_SPOKEN} WHERE lang IN {_in(langs)})", "raw_text", "substr(t, i, 1) IN ('+', '0') AND (i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '[0-9]'))", f"regexp_extract(substr(t, i), {_s('^(' + p + ')(?:[^0-9]|$)')}, 1)"),
+        "PHONE_NUMBER", name, str(score),
+    )
+    for name, (langs, p, score) in _REGIONAL.items()
+)
+_BY_RULE += " UNION ALL " + _as_hits(f"(SELECT page_id, unnest(l) AS h FROM {_MAILS} WHERE {_DETECT} = 'ar')", "EMAIL_ADDRESS", "email_ar", "1.0")
+
+
+@_query(_best(_BY_RULE))
+def rule_catalogue_hits(spark, d):
+    p = _pages(spark, d).withColumn("lang", _lang())
+    return hits.rule_hits(p, ["page_id"], "raw_text", "lang", resolve=True)
+
+
+_ARW = "[\\x{0600}-\\x{06FF}]+"
+_SPACED = "(i = 1 OR regexp_matches(substr(t, i - 1, 1), '[\\s\\x0B]'))"
+
+
+def _arabic_sql(source: str, text: str) -> str:
+    """SQL of all hits of the Arabic patterns, before overlaps are resolved."""
+    at = lambda p: f"regexp_extract(substr(t, i), {_s('^(' + p + ')')}, 1)"
+    letter = "regexp_matches(substr(t, i, 1), '[\\x{0600}-\\x{06FF}]')"
+    first = "(?:" + "|".join(sorted(lx.ARABIC_FIRST_NAMES, key=len, reverse=True)) + ")"
+    label = f"(?:{lx.ARABIC_LABELS})\\s*[:\\-]\\s*"
+    alone = f"regexp_extract(substr(t, i), {_s('^(' + first + ')(?:[^' + chr(0x5C) + 'x{0600}-' + chr(0x5C) + 'x{06FF}]|$)')}, 1)"
+    walk = f"CASE WHEN {at(first + '(?:' + chr(0x5C) + 's+' + _ARW + '){1,2}')} <> '' THEN {at(first + '(?:' + chr(0x5C) + 's+' + _ARW + '){1,2}')} ELSE {alone} END"
+    parts = [
+        _as_hits(_spans(source, text, f"{letter} AND {_SPACED}", at(f"(?:{lx.ARABIC_TITLES})\\s+{_ARW}(?:\\s+{_ARW}){{1,3}}")), "PERSON", "arabic_title", "0.90"),
+        _as_hits(_spans(source, text, letter, at(f"{label}{_ARW}(?:\\s+{_ARW}){{1,3}}")), "PERSON", "arabic_label", "0.95", f"length(regexp_extract(h.f, {_s('^' + label)}))"),
+        _as_hits(_spans(source, text, f"{letter} AND {_SPACED}", at(f"(?:عبد\\s+(?:{lx.ARABIC_ABD})|(?:{lx.ARABIC_DIN})\\s+الدين)(?:\\s+{_ARW}){{1,2}}")), "PERSON", "arabic_compound", "0.88"),
+        _as_hits(_spans(source, text, f"{letter} AND (i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '[\\x{{0600}}-\\x{{06FF}}]'))", walk), "PERSON", "arabic_gazetteer", "CASE WHEN regexp_matches(trim(h.f, ' '), '\\s') THEN 0.85 ELSE 0.70 END"),
+    ]
+    return " UNION ALL ".join(parts)
+
+
+_ARABIC_PAGES = f"(SELECT page_id, raw_text FROM {_PAGES} WHERE regexp_matches(raw_text, '[\\x{{0600}}-\\x{{06FF}}]'))"
+
+
+@_query(_best(_arabic_sql(_ARABIC_PAGES, "raw_text")))
+def arabic_person_hits(spark, d):
+    return arabic.person_hits(_pages(spark, d), ["page_id"], "raw_text")
+
+
+@_query(
+    f"WITH first AS MATERIALIZED ({_arabic_sql(_ARABIC_PAGES, 'raw_text')}), n AS MATERIALIZED (SELECT page_id, {_nfkc('raw_text')} AS plain FROM {_PAGES} WHERE regexp_matches(raw_text, '[\\x{{0600}}-\\x{{06FF}}\\x{{FB50}}-\\x{{FEFF}}]')) "
+    f"SELECT * FROM ({_arabic_sql('n', 'plain')}) a WHERE NOT EXISTS (SELECT 1 FROM first b WHERE b.page_id = a.page_id AND b.start = a.start AND b.\"end\" = a.\"end\")"
+)
+def arabic_second_pass(spark, d):
+    return arabic.second_pass(_pages(spark, d), ["page_id"], "raw_text")
+
+
 # ---- routing and pages -----------------------------------------------------------------------------
 
 _NC = "length(trim(coalesce(raw_text, ''), ' '))"
@@ -923,6 +990,19 @@ def report_json(spark, d):
     return as_json(report.totals(records), records)
 
 
+@_query(
+    "SELECT 0 AS part, NULL::VARCHAR AS doc_id, NULL::VARCHAR AS status, count(*)::VARCHAR AS n FROM (SELECT DISTINCT doc_id FROM file_summaries) UNION ALL "
+    "SELECT 1, doc_id::VARCHAR, status, coalesce(total_redactions, 0)::VARCHAR FROM (SELECT * FROM file_summaries QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY processed_at DESC) = 1)"
+)
+def report_json_fields(spark, d):
+    """The JSON report read back: the number of files from its head, and of each record the file, its status and redactions."""
+    from ..sources.sinks import report_json as as_json
+
+    records = report.latest(_t(spark, d, "file_summaries"))
+    j = lambda f: F.get_json_object("value", f"$.{f}")
+    return as_json(report.totals(records), records).select("part", j("doc_id").alias("doc_id"), j("status").alias("status"), F.when(F.col("part") == 0, j("n_files")).otherwise(F.coalesce(j("total_redactions"), F.lit("0"))).alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
