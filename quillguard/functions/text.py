@@ -131,11 +131,6 @@ def email_parts(c) -> Column:
     return F.filter(F.split(_c(c), "\\s+"), lambda x: F.length(x) >= 3)
 
 
-def reversed_form(c) -> Column:
-    """Visual right-to-left text in logical order."""
-    return F.reverse(nfkc(_c(c)))
-
-
 def overlaps(tokens_: Column, words: list[str]) -> Column:
     """Whether a token, in lower case, is one of the words."""
     return F.exists(tokens_, lambda t: F.lower(t).isin(words))

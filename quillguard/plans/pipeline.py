@@ -29,7 +29,7 @@ def _matcher(terms: tuple[str, ...]) -> re.Pattern:
 
 
 @F.pandas_udf(StringType())
-def _without_terms(text: pd.Series, terms: pd.Series) -> pd.Series:
+def without_terms(text: pd.Series, terms: pd.Series) -> pd.Series:
     """Terms replaced; the pattern of a dossier is made once in each worker."""
     return pd.Series([t if t is None or x is None or not len(x) else _matcher(tuple(x)).sub("[PERSON]", t) for t, x in zip(text, terms)], dtype=object)
 
@@ -38,7 +38,7 @@ def mask_pages(pages: DataFrame, terms: DataFrame, text: str = "raw_text") -> Da
     """Pages with e-mails, phones and the terms of their dossier replaced by the name of their entity."""
     joined = hits.with_terms(pages, terms, "dossier_id", "page_id", "left", pages)
     plain = hits.masked(hits.masked(text, P.EMAIL, "[EMAIL_ADDRESS]"), P.PHONE, "[PHONE_NUMBER]")
-    return joined.withColumn("masked", _without_terms(plain, F.col("terms"))).drop("terms")
+    return joined.withColumn("masked", without_terms(plain, F.col("terms"))).drop("terms")
 
 
 def batch(files: DataFrame, pages: DataFrame, terms: DataFrame, text: str = "raw_text") -> DataFrame:

@@ -20,7 +20,7 @@ def with_dossier(files: DataFrame, path: str = "rel_path") -> DataFrame:
 def discover(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """Files below the root: dossier_id, rel_path, ext, length, modified (and content).
 
-    Reads recursively; loose files at the root and empty folders give no row.
+    Reads recursively; loose files at the root, empty folders and files of length zero give no row.
     """
     prefix = root.rstrip("/")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(prefix)

@@ -57,6 +57,21 @@ def test_hot_dossiers_are_spread_and_lose_nothing(spark):
     assert hits.with_terms(df.limit(0), terms, "dossier_id", "page_id", "left").count() == 0
 
 
+def test_folder_to_masked_pages(spark, tmp_path):
+    """A tree of files through the plain-text plug-in to hits; without a decoder the result is empty and says so."""
+    from quillguard.sources import decoders
+
+    for name, content in (("D1/cv.txt", "Nom : Karl Mozdrin\nkarl@x.example\fpage two 0612345678"), ("D1/b ü.txt", "\f"), ("loose.txt", "a@b.example")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(content, encoding="utf-8")
+    found = files.discover(spark, str(tmp_path), content=True).withColumn("doc_id", F.xxhash64("rel_path"))
+    pages, status = decoders.plain_text().apply("pdf_pages", found.select("dossier_id", "doc_id", "content"), files.PAGES)
+    assert status == "ok" and values(pages, "dossier_id", "page_no", "text") == [("D1", 1, "Nom : Karl Mozdrin\nkarl@x.example"), ("D1", 1, None), ("D1", 2, "page two 0612345678"), ("D1", 2, None)]
+    assert values(hits.email_hits(pages, ["doc_id"], "text"), "found") == [("karl@x.example",)]
+    empty, status = files.Plugins().apply("pdf_pages", found, files.PAGES)
+    assert status == "degraded" and empty.count() == 0
+
+
 def test_once(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "d")], "id long, text string")
     assert sorted(((r["id"] or 0, r["text"]) for r in files.once(df, "id").collect())) == [(0, "c"), (0, "d"), (1, "a"), (2, "b")]
