@@ -138,6 +138,13 @@ def _undo_multi(run: str, codec: str) -> tuple[str, list[int]] | None:
     return ("".join(out), width) if good else None
 
 
+SHORT = 64  # characters of a run that is remembered
+
+
+def _undone(run: str, codec: str) -> tuple[str, list[int]] | None:
+    return _undo_multi(run, codec) if len(run) <= SHORT else _undo_multi.__wrapped__(run, codec)
+
+
 @lru_cache(None)
 def _single_table(real: str, read: str) -> dict[int, str]:
     table, chars = byte_of(read), char_of(real)
@@ -177,7 +184,7 @@ def undo(text: str, chain: tuple[str, ...]) -> str | None:
         return new if new != text else None
     out, at = [], 0
     for m in _RUN.finditer(text):
-        got = _undo_multi(m[0], chain[1])
+        got = _undone(m[0], chain[1])
         if got is not None:
             out += [text[at : m.start()], got[0]]
             at = m.end()
@@ -194,7 +201,7 @@ def undo_map(text: str, chain: tuple[str, ...]) -> tuple[str, list[int], list[in
     end: list[int] = []
     at = 0
     for m in _RUN.finditer(text):
-        got = _undo_multi(m[0], chain[1])
+        got = _undone(m[0], chain[1])
         if got is None:
             continue
         a, b = m.span()

@@ -106,7 +106,11 @@ def canonical(text: str) -> str:
 
 
 def _whole(m: re.Match) -> str:
-    return _form(m[0])
+    return _formed(m[0])
+
+
+def _formed(seg: str) -> str:
+    return _form(seg) if len(seg) <= 64 else _form.__wrapped__(seg)  # long segments are not remembered
 
 
 @lru_cache(20_000)
@@ -143,7 +147,7 @@ def _pass(text: str) -> tuple[str, list[int] | None, list[int] | None]:
     for m in _SEGMENT.finditer(text):
         a, b = m.span()
         seg = m[0]
-        if (new := _form(seg)) == seg:
+        if (new := _formed(seg)) == seg:
             continue
         out.append(text[at:a])
         start.extend(range(at, a))
