@@ -53,6 +53,15 @@ def person_hits(pages: DataFrame, key: list[str], text: str, resolve: bool = Tru
     return pages.where(T.has_arabic(text, False)).select(*key, F.explode(a).alias("h")).select(*key, "h.*")
 
 
+def analyzer_hits(pages: DataFrame, key: list[str], text: str, lang: str) -> DataFrame:
+    """Hits of all recognizers together, the regional rules by language and the Arabic patterns, in one pass; overlaps
+    are resolved over all of them.  Null and blank texts have none."""
+    arabic = F.when(T.has_arabic(text, False), span_arrays(text)).otherwise(F.array().cast(hits._NONE))
+    every = F.flatten(F.array(*hits.rule_arrays(text, lang), arabic))
+    found = pages.where(F.col(text).isNotNull()).select(*key, every.alias("hits"))
+    return found.select(*key, F.explode(hits.resolve_array(F.col("hits"))).alias("h")).select(*key, "h.*")
+
+
 def reversed_words(pages: DataFrame, key: list[str], text: str, names: list[str] = lx.ARABIC_FIRST_NAMES) -> DataFrame:
     """Words that are a first name in logical or visual order, with the words beside them unless those end in a colon.
 

@@ -111,9 +111,15 @@ def resolve_overlaps(hits: DataFrame, key: list[str]) -> DataFrame:
     return hits.alias("a").join(hits.alias("b"), cond, "left_anti")
 
 
+_NONE = "array<struct<start:int,end:int,found:string,entity:string,rule:string,score:double>>"
+
+
+def rule_arrays(text: str, lang: str, rules=P.RULES) -> list[Column]:
+    """Hits of each rule of the catalogue as an array; empty where the text's language is none of the rule's."""
+    return [F.when(F.col(lang).isin(*r.langs), span_array(text, r.regex, r.entity, r.name, r.score)).otherwise(F.array().cast(_NONE)) for r in rules]
+
+
 def rule_hits(pages: DataFrame, key: list[str], text: str, lang: str, rules=P.RULES, resolve: bool = False) -> DataFrame:
     """Hits of the rule catalogue on pages of each rule's languages, in one pass over the pages."""
-    none = F.array().cast("array<struct<start:int,end:int,found:string,entity:string,rule:string,score:double>>")
-    each = [F.when(F.col(lang).isin(*r.langs), span_array(text, r.regex, r.entity, r.name, r.score)).otherwise(none) for r in rules]
-    found = pages.where(F.col(text).rlike("[0-9@]|\\[at\\]")).select(*key, F.flatten(F.array(*each)).alias("hits"))
+    found = pages.where(F.col(text).rlike("[0-9@]|\\[at\\]")).select(*key, F.flatten(F.array(*rule_arrays(text, lang, rules))).alias("hits"))
     return found.select(*key, F.explode(resolve_array(F.col("hits")) if resolve else "hits").alias("h")).select(*key, "h.*")

@@ -360,6 +360,12 @@ def arabic_person_hits(spark, d):
     return arabic.person_hits(_pages(spark, d), ["page_id"], "raw_text")
 
 
+@_query(_best(_BY_RULE + " UNION ALL " + _arabic_sql(_ARABIC_PAGES, "raw_text")))
+def analyzer_hits(spark, d):
+    """All recognizers in one catalogue."""
+    return arabic.analyzer_hits(_pages(spark, d).withColumn("lang", _lang()), ["page_id"], "raw_text", "lang")
+
+
 @_query(
     f"WITH first AS MATERIALIZED ({_arabic_sql(_ARABIC_PAGES, 'raw_text')}), n AS MATERIALIZED (SELECT page_id, {_nfkc('raw_text')} AS plain FROM {_PAGES} WHERE regexp_matches(raw_text, '[\\x{{0600}}-\\x{{06FF}}\\x{{FB50}}-\\x{{FEFF}}]')) "
     f"SELECT * FROM ({_arabic_sql('n', 'plain')}) a WHERE NOT EXISTS (SELECT 1 FROM first b WHERE b.page_id = a.page_id AND b.start = a.start AND b.\"end\" = a.\"end\")"
@@ -748,23 +754,26 @@ def layout_top_candidate(spark, d):
     return layout.layout_name(spans)
 
 
-_CARD = (
-    f"list_filter(list_transform(string_split(header_text, chr(10))[1:6], lambda x: regexp_replace({_COLL('x')}, '(?i)^(?:{lx.HONORIFICS})\\s+', '')), lambda x: len(list_filter(string_split_regex(x, '\\s+'), lambda y: y <> '')) BETWEEN 1 AND 4 AND length(x) BETWEEN 4 AND 40 "
-    f"AND len(list_filter(string_split_regex(x, '\\s+'), lambda y: lower(y) IN {_in(lx.STOPWORDS)})) = 0 AND NOT regexp_matches(x, '@|http|\\.com|[0-9]{{5,}}'))[1]"
-)
+def _card_sql(text: str) -> str:
+    return (
+        f"list_filter(list_transform(string_split({text}, chr(10))[1:6], lambda x: regexp_replace({_COLL('x')}, '(?i)^(?:{lx.HONORIFICS})\\s+', '')), lambda x: len(list_filter(string_split_regex(x, '\\s+'), lambda y: y <> '')) BETWEEN 1 AND 4 AND length(x) BETWEEN 4 AND 40 "
+        f"AND len(list_filter(string_split_regex(x, '\\s+'), lambda y: lower(y) IN {_in(lx.STOPWORDS)})) = 0 AND NOT regexp_matches(x, '@|http|\\.com|[0-9]{{5,}}'))[1]"
+    )
 
 
 @_query(
     f"SELECT page_id, step::INT AS step, name FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY step, name) AS rn FROM (SELECT page_id, 0 AS step, name FROM ({_SQL['label_extract']}) UNION ALL SELECT doc_id, 1, name FROM ({_SQL['layout_top_candidate']}) "
-    f"UNION ALL SELECT page_id, 2, {_CARD} FROM {_PAGES} UNION ALL SELECT doc_id, 3, name FROM {_NER}) WHERE name IS NOT NULL AND page_id IN (SELECT page_id FROM {_TARGET})) WHERE rn = 1"
+    f"UNION ALL SELECT page_id, 2, {_card_sql('header_text')} FROM {_PAGES} UNION ALL SELECT page_id, 3, {_card_sql('raw_text')} FROM {_PAGES} WHERE length(trim(raw_text, ' ')) < 80 UNION ALL SELECT doc_id, 4, name FROM {_NER}) WHERE name IS NOT NULL AND page_id IN (SELECT page_id FROM {_TARGET})) WHERE rn = 1"
 )
 def name_cascade(spark, d):
-    """Candidate's name on the first written page of each file: label, else layout, else card, else recognizer."""
+    """Candidate's name on the first written page of each file: label, else layout, else card, else the lines of a page
+    of under 80 characters (a scanned one), else recognizer."""
     p = identity.target_pages(_pages(spark, d))
     keys = p.select("page_id")
     of = lambda df: df.select(F.col("doc_id").alias("page_id"), "name").join(keys, "page_id", "left_semi")
     card = p.select("page_id", ocr.header_name(F.split("header_text", "\n")).alias("name"))
-    return identity.first_found([label_extract(spark, d), of(layout_top_candidate(spark, d)), card, of(ner_accepted(spark, d))], "page_id")
+    scan = p.where(F.length(F.trim("raw_text")) < 80).select("page_id", ocr.header_name(F.split("raw_text", "\n")).alias("name"))
+    return identity.first_found([label_extract(spark, d), of(layout_top_candidate(spark, d)), card, scan, of(ner_accepted(spark, d))], "page_id")
 
 
 # ---- regions and the batch -------------------------------------------------------------------------
