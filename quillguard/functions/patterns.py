@@ -19,7 +19,8 @@ PHONE_CONSUMING = rf"(?:^|[^0-9])({PHONE_CORE})(?:[^0-9]|$)"
 _WORD = r"[\p{L}\p{N}_]"
 _BLANK = r"[\s\p{Z}\x{0085}]*"
 EMAIL = (
-    rf"(?:(?<!{_WORD})(?=[A-Za-z0-9_])|(?<={_WORD})(?=[.%+-]))[A-Za-z0-9._%+-]+(?:{_BLANK}@{_BLANK}|{_BLANK}\[at\]{_BLANK})"
+    # what follows the local part is none of its letters, so nothing is given back
+    rf"(?:(?<!{_WORD})(?=[A-Za-z0-9_])|(?<={_WORD})(?=[.%+-]))[A-Za-z0-9._%+-]++{_BLANK}+(?:@|\[at\]){_BLANK}+"
     rf"[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}(?!{_WORD})"
 )
 # The rule for scanned text, after separators are taken out; it is not anchored.

@@ -146,15 +146,20 @@ def _is_one_of(words: list[str]):
     return lambda w: w.isin(words)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def statistical_language(c) -> Column:
     """Language whose function words the text has most of (first by code of equals); null where it has none.
 
     Each occurrence counts; words are runs of Latin letters, so other scripts do not count.
     """
-    words = F.split(F.lower(_c(c)), "[^a-z\\x{00DF}-\\x{00FF}]+")
-    counts = [F.struct(F.size(F.filter(words, _is_one_of(v))).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("lang")) for i, (k, v) in enumerate(sorted(lx.FUNCTION_WORDS.items()))]
-    best = F.greatest(*counts)
-    return F.when(best["n"] > 0, best["lang"])
+    langs = sorted(lx.FUNCTION_WORDS.items())
+    count = lambda ws, i, k, v: F.struct(F.size(F.filter(ws, _is_one_of(v))).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("lang"))
+    best = lambda ws: F.greatest(*[count(ws, i, k, v) for i, (k, v) in enumerate(langs)])
+    return _let(F.split(F.lower(_c(c)), "[^a-z\\x{00DF}-\\x{00FF}]+"), lambda ws: _let(best(ws), lambda b: F.when(b["n"] > 0, b["lang"])))
 
 
 def detect_language(c, statistical: Column | None = None) -> Column:

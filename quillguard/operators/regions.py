@@ -47,11 +47,20 @@ def occurrences(pages: DataFrame, terms: DataFrame, key: list[str], text: str, d
 def placed_words(pages: DataFrame, key: list[str], text: str, char_width: float = 6.0, line_height: float = 12.0) -> DataFrame:
     """Words with their places in the whole text and the boxes of a fixed-width rendering: key, line_no, word_no, word,
     start, end, rect.  Decoders that know the real boxes give the same columns."""
-    words = layout.words_of(pages, key, text, char_width, line_height)
-    lines = F.split(text, "\n")
-    offset = F.aggregate(F.slice(lines, 1, F.col("line_no")), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    begun = pages.where(F.col(text).isNotNull()).select(*key, text, F.explode(F.sequence(F.lit(0), F.size(lines) - 1)).alias("line_no")).select(*key, "line_no", offset.alias("offset"))
-    return words.join(begun, [*key, "line_no"]).select(*key, "line_no", "word_no", "word", (F.col("offset") + F.col("start")).alias("start"), (F.col("offset") + F.col("start") + F.length("word")).alias("end"), "rect")
+    lines = _pieces(F.col(text), "\n")
+    rows = pages.where(F.col(text).isNotNull()).select(*key, F.posexplode(lines).alias("line_no", "l"))
+    w = rows.select(*key, "line_no", F.col("l.at").alias("offset"), F.posexplode(_pieces(F.col("l.piece"), " ")).alias("word_no", "w")).where("w.piece <> ''")
+    word, at, y0 = F.col("w.piece"), F.col("w.at"), F.col("line_no") * line_height
+    start = F.col("offset") + at
+    rect = G.rect(at * char_width, y0, (at + F.length(word)) * char_width, y0 + line_height)
+    return w.select(*key, "line_no", "word_no", word.alias("word"), start.alias("start"), (start + F.length(word)).alias("end"), rect.alias("rect"))
+
+
+def _pieces(text: Column, by: str) -> Column:
+    """Pieces of a text between single characters, with the places where they begin."""
+    pieces = F.split(text, by)
+    begins = F.aggregate(pieces, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
+    return F.zip_with(pieces, F.slice(begins, 1, F.size(pieces)), lambda p, b: F.struct(p.alias("piece"), b.alias("at")))
 
 
 def boxes_of(found: DataFrame, words: DataFrame, key: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import lexicon as lx
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import arabic, hits, identity, layout, ner, ocr, regions, report
-from ..sources.files import flatten_layout, header_image, image_placements, once
+from ..sources.files import flatten_layout, header_image, image_placements, once, spread
 from . import pipeline
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +35,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return once(_t(spark, d, "dossier_pages"), "page_id")
+    return once(spread(_t(spark, d, "dossier_pages")), "page_id")
 
 
 def _s(x: str) -> str:

@@ -30,6 +30,13 @@ def discover(spark: SparkSession, root: str, content: bool = False) -> DataFrame
     return with_dossier(out).select(*cols, *(["content"] if content else []))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan whose tasks are few against the cores (a small file) spread over them; any other as it is.  The
+    number of tasks is asked of the scan, which runs nothing."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def once(df: DataFrame, key: str) -> DataFrame:
     """One row for each key, any of several; rows without a key all stay.
 
