@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from functools import lru_cache
 
 import zstandard
@@ -251,6 +252,23 @@ def train_dictionaries(samples: dict[str, list[str]], size: int = 32768) -> dict
     return out
 
 
+TRAINING = 60_000  # pieces of the text that a dictionary is trained on where counts are given
+_LINE = 8  # pieces of one of its lines
+
+
+def text_of_counts(counts: dict[str, int], total: int) -> list[str]:
+    """Lines of about TRAINING pieces in which each piece is as frequent as in the texts that were counted (``total``
+    pieces, listed or not), spread evenly; of fewer, all of them."""
+    share = min(1.0, TRAINING / max(total, 1))
+    places: list[tuple[float, str]] = []
+    for w, n in counts.items():
+        times = round(n * share)
+        at = zlib.crc32(w.encode("utf-8", "surrogatepass")) / (1 << 32)
+        places += [((i + at) / times, w) for i in range(times)]
+    text = [w for _, w in sorted(places)]
+    return [" ".join(text[i : i + _LINE]) for i in range(0, len(text), _LINE)]
+
+
 ROUNDS = 3  # wrong decodings that may lie on top of each other
 AMBIGUOUS = re.compile("[аісуоІАﬂ]")  # look-alikes and ligatures that also arise from wrong decoding
 _FROM_LOOKALIKE = [c for c in CHAINS if c in (("cp1252", "cp1251"), ("cp1252", "mac_roman"))]

@@ -16,6 +16,7 @@ from functools import lru_cache
 LANGS = ("ar", "de", "en", "es", "fr")
 LATIN = LANGS[1:]
 MIN_WORDS = 3
+FREQUENT = 50  # occurrences of a word from which its trigrams count no more
 _BULLET = re.compile(r"^[ \t]*(?:[-•*–—·▪‣◦●○■□➢✓✔>#]|\d+[.)])[ \t]")
 _END = re.compile(r"[.!?؟۔…][\"'’”»)\]]*[ \t]*$")
 _SPLIT = re.compile(r"(?<=[.!?؟…])[ \t]+(?=[A-ZÀ-ÖØ-Þ¿¡\"“«ء-ي])")
@@ -100,23 +101,37 @@ def train(samples: list[tuple[str, str]], smooth: float = 0.5) -> Model:
     grams = {k: Counter() for k in LATIN}
     for lang, text in samples:
         if lang in counts:
-            counts[lang].update(w for w in _WORD.findall(text.lower()) if w[0] < "؀")
+            counts[lang].update(latin_words(text))
     for k in LATIN:
         for w, n in counts[k].items():
-            w = f" {w} "
-            for i in range(len(w) - 2):
-                grams[k][w[i : i + 3]] += min(n, 50)
+            for g in trigrams(w):
+                grams[k][g] += min(n, FREQUENT)
+    return fitted(counts, {k: sum(counts[k].values()) for k in LATIN}, grams, smooth=smooth)
 
-    def table(by: dict[str, Counter], floor: float) -> dict[str, tuple[float, ...]]:
-        totals = {k: sum(by[k].values()) + 1 for k in LATIN}
+
+def trigrams(word: str) -> list[str]:
+    w = f" {word} "
+    return [w[i : i + 3] for i in range(len(w) - 2)]
+
+
+def latin_words(text: str) -> list[str]:
+    return [w for w in _WORD.findall(text.lower()) if w[0] < "؀"]
+
+
+def fitted(words: dict[str, dict[str, int]], totals: dict[str, int], grams: dict[str, dict[str, int]], scale: float = 1.0, smooth: float = 0.5) -> Model:
+    """Model from counts of words and trigrams in the texts of each language.  ``totals``: all words of a language,
+    listed in ``words`` or not; ``scale``: by what the counts are divided before they are smoothed."""
+
+    def table(by: dict[str, dict[str, int]], sums: dict[str, int], floor: float) -> dict[str, tuple[float, ...]]:
+        sums = {k: sums.get(k, 0) / scale + 1 for k in LATIN}
         out = {}
         for w in set().union(*by.values()):
-            p = [(by[k][w] + smooth) / totals[k] for k in LATIN]
+            p = [(by.get(k, {}).get(w, 0) / scale + smooth) / sums[k] for k in LATIN]
             top = max(p)
             out[w] = tuple(max(math.log(x / top), floor) for x in p)
         return out
 
-    return Model(table(counts, -6.0), table(grams, -3.0))
+    return Model(table(words, totals, -6.0), table(grams, {k: sum(v.values()) for k, v in grams.items()}, -3.0))
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:

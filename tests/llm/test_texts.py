@@ -275,3 +275,31 @@ def test_numbers_after_a_line_end_stay_apart():
     assert find("GSM +213 56 47 55 78\n81, avenue du Vieux Moulin, 39 111 Brévigny") == [("ADDRESS", "81, avenue du Vieux Moulin, 39 111 Brévigny"), ("PHONE", "+213 56 47 55 78")]
     assert find("124 Harrow Street,\nWickmoor\n00212 6 43 40 82 72") == [("ADDRESS", "124 Harrow Street,\nWickmoor"), ("PHONE", "00212 6 43 40 82 72")]
     assert find("Nom et pr�nom : Bernard Tudadloust") == [("NAME", "Bernard Tudadloust")]
+
+
+def test_models_are_counted_over_all_texts(spark):
+    """Every text counts, to its end: models of 4,500 texts are those of a count in Python, and of a corpus three times as large."""
+    from quillguard.llm import common
+
+    rng = random.Random(4)
+    ends = ["arbre", "brume", "corde", "drap", "encre"]
+    rows = []
+    for i in range(4500):
+        words = rng.choices(["plan", "office", "van", "Karte", "lista", *(f"Wort{k}x" for k in range(40))], k=12)
+        if i % 300 == 7:  # words at the end of a few long texts, three times each in 1,500
+            words += ["and"] * 2500 + ends
+        rows.append((i, ("de", "en", "es", "fr", None)[i % 5], " ".join(words), ("Zweig" if i % 1500 < 2 else "Ast") if i % 500 < 3 else "so"))
+    docs = spark.createDataFrame([(i, k, f"{t} {x}") for i, k, t, x in rows], "doc_id long, lang string, text string")
+    words, grams, dictionaries, vocabulary = common.text_models(spark, docs).value
+    weight = {}
+    for _, _, t, x in rows:
+        for w in {*t.split(), x}:
+            for part in common._WORD.findall(w):
+                weight[pii.fold(part)] = weight.get(pii.fold(part), 0) + (3 if part[0].islower() else 1)
+    assert vocabulary == {w for w, n in weight.items() if n >= 9} and {*ends, "ast"} <= vocabulary and "zweig" not in vocabulary
+    whole = L.train([(k, f"{t} {x}") for _, k, t, x in rows if k])
+    best = lambda m: {w: x.index(max(x)) for w, x in m.items()}
+    assert best(words) == best(whole.words)
+    assert set(grams) == set(whole.grams) and set(dictionaries) == {"de", "en", "es", "fr"}
+    again = common.text_models(spark, docs.unionByName(docs).unionByName(docs)).value
+    assert again[3] == vocabulary and again[0].keys() == words.keys() and again[2].keys() == dictionaries.keys()
