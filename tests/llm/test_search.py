@@ -1,6 +1,7 @@
 """Names, packing, leakage, reading levels against brute force."""
 
 import random
+from collections import Counter as Tally
 
 import numpy as np
 import pytest
@@ -168,6 +169,65 @@ def test_given_names_are_learned(spark, data, monkeypatch):
     assert len(local) > 1000 and len(want & got) / len(want) > 0.9 and len(want & got) / len(got) > 0.99
 
 
+def learned_in_python(names):
+    """Given names and their forms from all names, each a list of words."""
+    beside = {}
+    for ws in {tuple(sorted(n)) for n in names}:
+        for w in ws:
+            beside.setdefault(w, set()).update(x for x in ws if x != w)
+    families, both, group = Tally(), Tally(), {}
+    for ws in beside.values():
+        if 2 <= len(ws) <= N.RARE:
+            families.update(ws)
+            both.update((a, b) for a in ws for b in ws if a < b)
+    for (a, b), n in both.items():
+        if n >= N.LEARN_FAMILIES and 4 * n >= min(families[a], families[b]):
+            one = group.get(a, {a}) | group.get(b, {b})
+            group |= {w: one for w in one}
+    forms = {w: min(g, key=lambda x: (-families[x], x)) for w, g in group.items()}
+    return {w: w for w, n in families.items() if n >= N.LEARN_GIVEN} | forms
+
+
+def made_up_names():
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("bdfgkmprtvz") + rng.choice("aeiou") for _ in range(n))
+    given = [[word(4), word(2) + "x"] for _ in range(12)]
+    given[1].append(given[0][1])  # one short form of two names
+    return [(f"{rng.choice(given[k])} {f}", (k, f)) for f in (word(5) for _ in range(150)) for k in rng.sample(range(12), 2) for _ in range(3)]
+
+
+def test_given_names_are_learned_from_all_names(spark, monkeypatch):
+    """All rare words count, whatever a bound on them was."""
+    from quillguard.llm import p4_names as P4
+
+    monkeypatch.setattr(P4, "FIT_NAMES", 5, raising=False)
+    names = [n for n, _ in made_up_names()]
+    pts = P4.materialize(P4.points(spark.createDataFrame(list(enumerate(names)), "name_id long, name string"), "name_id", "name"))
+    free = {r["name_id"]: r["core"].split(" ") for r in pts.where("cell = 'U'").collect()}
+    forms = learned_in_python(free.values())
+    assert len(forms) > 20 and len(set(forms.values())) < len(forms)
+    pivots = N.Pivots(forms)
+    want = {k: sorted({c for _, c, _ in N.recast("P", "U", " ".join(ws), pivots)}) for k, ws in free.items()}
+    got = {r["name_id"]: sorted({r["cell"], *r["alts"]}) for r in P4.learned(pts).collect() if r["name_id"] in free}
+    assert got == want
+
+
+def test_many_given_names_give_the_same(spark, monkeypatch):
+    """Learned forms met by a join move the names to the cells to which an index in every worker moves them."""
+    from quillguard.llm import p4_names as P4
+
+    rng = random.Random(12)
+    names = [n for n, _ in made_up_names()]
+    names += [slips(rng, n.split(" ")[0], 1) + " " + n.split(" ")[1] for n in names[:200]] + ["Groupe Braclizdeg Chichoucgrip", "Karima Brudwimpal", "K. Brudwimpal"]
+    pts = P4.materialize(P4.points(spark.createDataFrame(list(enumerate(names)), "name_id long, name string"), "name_id", "name"))
+    run = lambda: sorted(tuple(map(str, r)) for r in P4.learned(pts).collect())
+    whole, found = run(), groups(entities(spark, names))
+    assert len(whole) == len(names) and whole != sorted(tuple(map(str, r)) for r in pts.collect())
+    monkeypatch.setattr(P4, "SHIPPED", 0)
+    monkeypatch.setattr(P4, "SMALL", 0)
+    assert run() == whole and groups(entities(spark, names)) == found
+
+
 def test_blocks_list_each_pair_once(spark, monkeypatch):
     from quillguard.llm import p4_names as P4
 
